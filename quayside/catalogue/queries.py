@@ -221,12 +221,12 @@ def forecast_report(spark, folder):
 
 def customers_behind(spark, folder):
     rows = forecast.customers_behind(_gap(spark, folder))
-    return _comparable(rows, "unfulfilled_value_gbp", digits=2)
+    return _comparable(rows, "unfulfilled_value_gbp")
 
 
 def pipeline_by_month(spark, folder):
     rows = forecast.pipeline_by_month(_gap(spark, folder))
-    return _comparable(rows, "forecast_value_gbp", "unfulfilled_value_gbp", digits=2)
+    return _comparable(rows, "forecast_value_gbp", "unfulfilled_value_gbp")
 
 
 def over_ordered(spark, folder):
@@ -275,7 +275,7 @@ def bom_material_requirements(spark, folder):
 def bom_cost_rollup(spark, folder):
     needed = bom.material_requirements(_edges(spark, folder), fixtures.BOM_ROOT)
     rows = bom.cost_rollup(needed, fixtures.part_costs(spark, folder))
-    return _comparable(rows, "extended_cost", digits=2)
+    return _comparable(rows, "extended_cost")
 
 
 def bom_where_used(spark, folder):

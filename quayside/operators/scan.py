@@ -30,18 +30,19 @@ Levels = tuple[tuple[str, ...], ...]
 def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """Keys with more than ``hot_rows`` rows, or None where there are none.
 
-    Runs one aggregate over the key column. No more than ``MAX_HOT_KEYS`` keys can each hold
-    more than 1/MAX_HOT_KEYS of all rows, so raising the limit to that share bounds the list
-    that the scan broadcasts.
+    Counts the rows, and where they are enough for a hot key, aggregates the key column. No
+    more than ``MAX_HOT_KEYS`` keys can each hold more than 1/MAX_HOT_KEYS of all rows, so
+    raising the limit to that share bounds the list that the scan broadcasts.
     """
+    total = rows.count()
+    if total <= hot_rows:
+        return None
+    limit = max(hot_rows, total // MAX_HOT_KEYS)
     counts = (
         rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     )
-    total, largest = counts.agg(F.sum("_rows"), F.max("_rows")).first()
-    limit = max(hot_rows, (total or 0) // MAX_HOT_KEYS)
-    if (largest or 0) <= limit:
-        return None
-    return counts.where(F.col("_rows") > limit).select(key)
+    hot = counts.where(F.col("_rows") > limit).select(key)
+    return None if hot.isEmpty() else hot
 
 
 def ordered_scan(

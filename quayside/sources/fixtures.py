@@ -7,7 +7,6 @@ The rules are those of FIXTURES.md part B. A real installation reads its own ext
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,9 +32,21 @@ PERIODS = 6
 ITEM_ID_STEP = 10_000_000_000
 
 
+# Columns of the test tables, declared so that no job has to look them up.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int",
+    "part": "p_partkey bigint, p_name string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+    " l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string,"
+    " l_shipdate timestamp_ntz",
+}
+
+
 def reader(spark: SparkSession, folder: str) -> Callable[[str], DataFrame]:
-    """Reader of the test tables that looks up each schema once."""
-    return cache(lambda name: spark.read.parquet(f"{folder}/{name}.parquet"))
+    return lambda name: spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def _code(key: str) -> Column:
