@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayside.operators import allocation, bom, forecast, quality
-from quayside.operators.scan import hot_keys
 from quayside.plans import reports
 from quayside.sources import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-SPLIT_ROWS = 4  # so few that the split path serves most items of the test data
+SPLIT_ROWS = 30  # so few that the test data has items to split and items to leave whole
 WHERE_USED = "P0000199"
 COMPONENT_TYPE = "ECONOMY"
 
@@ -69,10 +68,19 @@ _OPEN_COLUMNS = [
 ]
 
 
-def outstanding_lines(spark, folder, remap_duplicates=False):
+def _hot(tables, split):
+    return allocation.hot_items(tables, SPLIT_ROWS) if split else allocation.hot_items(tables)
+
+
+def outstanding_lines(spark, folder, remap_duplicates=False, split=False):
     tables = fixtures.allocation(spark, folder)
     lines = allocation.open_lines(tables, remap_duplicates)
-    return _comparable(allocation.with_stock(lines, _stock(tables)).select(_OPEN_COLUMNS))
+    stocked = allocation.with_stock(lines, _stock(tables), _hot(tables, split))
+    return _comparable(stocked.select(_OPEN_COLUMNS))
+
+
+def outstanding_lines_split(spark, folder):
+    return outstanding_lines(spark, folder, split=True)
 
 
 def outstanding_lines_remapped(spark, folder):
@@ -88,8 +96,7 @@ def priority_rank(spark, folder):
 def running_demand(spark, folder, split=False):
     tables = fixtures.allocation(spark, folder)
     lines = allocation.open_lines(tables)
-    hot = hot_keys(lines, "item_code", SPLIT_ROWS) if split else allocation.hot_items(tables)
-    ranked = allocation.running_demand(lines, hot)
+    ranked = allocation.running_demand(lines, _hot(tables, split))
     return ranked.select("line_id", "item_code", "priority_rank", "used_before")
 
 
@@ -100,8 +107,7 @@ def running_demand_split(spark, folder):
 def waterfall_allocation(spark, folder, split=False):
     tables = fixtures.allocation(spark, folder)
     lines = allocation.open_lines(tables)
-    hot = hot_keys(lines, "item_code", SPLIT_ROWS) if split else allocation.hot_items(tables)
-    return allocation.waterfall_allocate(lines, _stock(tables), hot).select(
+    return allocation.waterfall_allocate(lines, _stock(tables), _hot(tables, split)).select(
         "line_id", "item_code", "priority_rank", "due_quantity", "total_stock", "used_before",
         "remaining_before", "proposed",
     )
@@ -299,6 +305,7 @@ QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         nominal_dedupe, stock_levels, outstanding_lines, outstanding_lines_remapped,
+        outstanding_lines_split,
         priority_rank, running_demand, running_demand_split, waterfall_allocation,
         waterfall_allocation_split, allocation_status, despatch_status, code_labels,
         fx_transaction, fx_system, allocation_report, forecast_base, forecast_period_dates,

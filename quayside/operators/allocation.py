@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions import currency, labels
-from quayside.operators.scan import HOT_ROWS, hot_keys, ordered_scan
+from quayside.operators.scan import ordered_scan
+from quayside.operators.skew import HOT_ROWS, hot_keys, spread_join
 from quayside.sources.tables import AllocationTables
 
 # Lines that already hold stock come last, then promised date, document date and line id. The
@@ -70,9 +71,9 @@ def open_lines(tables: AllocationTables, remap_duplicates: bool = False) -> Data
     )
 
 
-def with_stock(lines: DataFrame, stock: DataFrame) -> DataFrame:
+def with_stock(lines: DataFrame, stock: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Lines with the stock of their item, 0 where it has none."""
-    return _stock_or_zero(lines.join(stock, "item_code", "left"))
+    return _stock_or_zero(spread_join(lines, stock, "item_code", "line_id", hot))
 
 
 def _stock_or_zero(lines: DataFrame) -> DataFrame:

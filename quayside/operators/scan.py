@@ -1,8 +1,8 @@
 """Rank and running total per key, with hot keys spread over many tasks.
 
-A window over ``PARTITION BY key`` puts all rows of a key into one task. Here a key with
-more rows than ``hot_rows`` is cut into blocks that depend only on the values in a row: its
-order columns and the high bits of its unique row id. The window then runs per (key, block)
+A window over ``PARTITION BY key`` puts all rows of a key into one task. Here a hot key is cut
+into blocks that depend only on the values in a row: its order columns and the high bits of
+its unique row id. The window then runs per (key, block)
 and each block adds the count and sum of the blocks before it. Those come from partial
 aggregates of the hot keys only, totalled level by level.
 
@@ -19,32 +19,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 100_000
 BLOCK_BITS = 20
 SUPER_BLOCK_BITS = 40
 
 Levels = tuple[tuple[str, ...], ...]
 
 
-def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows, or None where there are none.
-
-    Counts the rows, and where they are enough for a hot key, aggregates the key column. No
-    more than ``MAX_HOT_KEYS`` keys can each hold more than 1/MAX_HOT_KEYS of all rows, so
-    raising the limit to that share bounds the list that the scan broadcasts.
-    """
-    total = rows.count()
-    if total <= hot_rows:
-        return None
-    limit = max(hot_rows, total // MAX_HOT_KEYS)
-    counts = (
-        rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    )
-    hot = counts.where(F.col("_rows") > limit).select(key)
-    return None if hot.isEmpty() else hot
-
-
 def ordered_scan(
     rows: DataFrame,
     key: str,
@@ -60,7 +40,8 @@ def ordered_scan(
 
     ``order`` lists the order columns (numbers or dates, NULLs first) in groups, coarse to
     fine; the unique integer ``row_id`` comes last. ``per_key`` is left-joined on the same
-    shuffle. ``hot`` comes from :func:`hot_keys`. ``before`` is NULL on the first row.
+    shuffle. ``hot`` comes from :func:`quayside.operators.skew.hot_keys`. ``before`` is NULL
+    on the first row.
     """
     columns = [name for level in order for name in level]
     if hot is None:
@@ -68,19 +49,22 @@ def ordered_scan(
             rows = rows.join(per_key, key, "left")
         return _scan(rows, [key], columns, row_id, amount, rank, before)
 
+    hot = F.broadcast(hot)
+    flagged = rows.join(hot, key, "left")
     block = _block(columns, F.shiftright(row_id, BLOCK_BITS))
-    flagged = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
-    rows = flagged.withColumn("_block", F.when(F.col("_hot"), block).otherwise("")).drop("_hot")
-    offsets = _block_offsets(flagged.where("_hot"), key, order, row_id, amount)
+    rows = flagged.withColumn("_block", F.when(F.col("_parts").isNotNull(), block).otherwise(""))
+    hot_rows = flagged.where(F.col("_parts").isNotNull())
+    offsets = _block_offsets(hot_rows, key, order, row_id, amount)
     offsets = offsets.withColumn("_block", _block(columns, F.col("_low")))
     offsets = offsets.select(key, "_block", "_rows_before", "_amount_before")
     if per_key is not None:
         # Joined together, so that one shuffle by (key, block) serves join and window.
-        hot_list = F.broadcast(hot)
-        whole = per_key.join(hot_list, key, "left_anti").withColumn("_block", F.lit(""))
-        split = offsets.join(per_key.join(hot_list, key, "left_semi"), key, "left")
+        whole = per_key.join(hot, key, "left_anti").withColumn("_block", F.lit(""))
+        split = offsets.join(per_key.join(hot.select(key), key), key, "left")
         offsets = whole.unionByName(split, allowMissingColumns=True)
-    rows = rows.join(offsets, [key, "_block"], "left")
+    # Named here rather than left to the window: rows that arrive partitioned by the key alone
+    # would satisfy it and keep a hot key in one task.
+    rows = rows.drop("_parts").repartition(key, "_block").join(offsets, [key, "_block"], "left")
     scanned = _scan(rows, [key, "_block"], columns, row_id, amount, rank, before)
     return scanned.withColumns({
         rank: F.col(rank) + F.coalesce("_rows_before", F.lit(0)),

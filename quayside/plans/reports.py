@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quayside.functions import text
 from quayside.operators import allocation, bom, forecast
-from quayside.operators.scan import HOT_ROWS
+from quayside.operators.skew import HOT_ROWS
 from quayside.sources.tables import AllocationTables, BomTables, ForecastTables
 
 # Report labels, in report order, by column.
