@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quayside.functions import currency, labels
 from quayside.operators.scan import ordered_scan
-from quayside.operators.skew import HOT_ROWS, hot_keys, spread_join
+from quayside.operators.skew import HOT_ROWS, HotKeys, hot_keys, spread_join
 from quayside.sources.tables import AllocationTables
 
 # Lines that already hold stock come last, then promised date, document date and line id. The
@@ -71,7 +71,7 @@ def open_lines(tables: AllocationTables, remap_duplicates: bool = False) -> Data
     )
 
 
-def with_stock(lines: DataFrame, stock: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def with_stock(lines: DataFrame, stock: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Lines with the stock of their item, 0 where it has none."""
     return _stock_or_zero(spread_join(lines, stock, "item_code", "line_id", hot))
 
@@ -81,24 +81,24 @@ def _stock_or_zero(lines: DataFrame) -> DataFrame:
     return lines.select(*[c for c in lines.columns if c != "current_stock"], stock)
 
 
-def _ranked(lines: DataFrame, per_item: DataFrame | None, hot: DataFrame | None) -> DataFrame:
+def _ranked(lines: DataFrame, per_item: DataFrame | None, hot: HotKeys | None) -> DataFrame:
     return ordered_scan(
         lines, key="item_code", order=PRIORITY, row_id="line_id", amount="due_quantity",
         rank="priority_rank", before="used_before", per_key=per_item, hot=hot,
     )
 
 
-def priority_rank(lines: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def priority_rank(lines: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Rank of each line within its item, 1 being served first."""
     return _ranked(lines, None, hot).drop("used_before")
 
 
-def running_demand(lines: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def running_demand(lines: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Rank, and quantity due on the lines of the item that rank higher (NULL on the first)."""
     return _ranked(lines, None, hot)
 
 
-def hot_items(tables: AllocationTables, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+def hot_items(tables: AllocationTables, hot_rows: int = HOT_ROWS) -> HotKeys | None:
     """Items with very many lines, counted on one column of the line view.
 
     Closed lines count too, which can only split more items than needed.
@@ -107,7 +107,7 @@ def hot_items(tables: AllocationTables, hot_rows: int = HOT_ROWS) -> DataFrame |
 
 
 def waterfall_allocate(
-    lines: DataFrame, stock: DataFrame, hot: DataFrame | None = None
+    lines: DataFrame, stock: DataFrame, hot: HotKeys | None = None
 ) -> DataFrame:
     """Serve the lines of each item in rank order until its stock runs out.
 

@@ -1,15 +1,16 @@
 """Rank and running total per key, with hot keys spread over many tasks.
 
 A window over ``PARTITION BY key`` puts all rows of a key into one task. Here a hot key is cut
-into blocks that depend only on the values in a row: its order columns and the high bits of
-its unique row id. The window then runs per (key, block)
-and each block adds the count and sum of the blocks before it. Those come from partial
-aggregates of the hot keys only, totalled level by level.
-
-Bounds, whatever the skew: a block holds at most 2**20 rows, because row ids are unique. A
-level groups at most 2**20 blocks, or the distinct values of its order columns (calendar days)
-times the distinct ``row_id >> 40``. Blocks depend on values only, so a task that is run again
-on another executor gives the same rows.
+into cells by its first order columns, a cell that is still too large by the next ones, and
+what is left by the bits of the unique row id. The window then runs per (key, cell), and each
+cell adds the count and sum of the cells before it, which come from partial aggregates of the
+hot keys only.
+
+Bounds, whatever the skew: a cell holds at most the limit of the hot keys or, cut to the end,
+2**20 rows, because row ids are unique. The cells of one parent number at most the distinct
+values of their order columns (calendar days) times the distinct ``row_id >> 40``, or 2**20.
+Cells follow from the values in a row alone, so a task that is run again on another executor
+gives the same rows.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_BITS = 20
-SUPER_BLOCK_BITS = 40
+from quayside.operators.skew import HotKeys
+
+LOW_BITS = 20
+HIGH_BITS = 40
 
 Levels = tuple[tuple[str, ...], ...]
 
@@ -34,14 +37,13 @@ def ordered_scan(
     rank: str,
     before: str,
     per_key: DataFrame | None = None,
-    hot: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Add the row number within ``key`` and the sum of ``amount`` over the rows before.
 
     ``order`` lists the order columns (numbers or dates, NULLs first) in groups, coarse to
     fine; the unique integer ``row_id`` comes last. ``per_key`` is left-joined on the same
-    shuffle. ``hot`` comes from :func:`quayside.operators.skew.hot_keys`. ``before`` is NULL
-    on the first row.
+    shuffle. ``before`` is NULL on the first row.
     """
     columns = [name for level in order for name in level]
     if hot is None:
@@ -49,27 +51,27 @@ def ordered_scan(
             rows = rows.join(per_key, key, "left")
         return _scan(rows, [key], columns, row_id, amount, rank, before)
 
-    hot = F.broadcast(hot)
-    flagged = rows.join(hot, key, "left")
-    block = _block(columns, F.shiftright(row_id, BLOCK_BITS))
-    rows = flagged.withColumn("_block", F.when(F.col("_parts").isNotNull(), block).otherwise(""))
-    hot_rows = flagged.where(F.col("_parts").isNotNull())
-    offsets = _block_offsets(hot_rows, key, order, row_id, amount)
-    offsets = offsets.withColumn("_block", _block(columns, F.col("_low")))
-    offsets = offsets.select(key, "_block", "_rows_before", "_amount_before")
+    keys = F.broadcast(hot.keys.select(key, F.lit(True).alias("_hot")))
+    levels = [*order[:-1], (*order[-1], "_high"), ("_low",)]
+    rows = rows.join(keys, key, "left").withColumns({
+        "_high": F.shiftright(row_id, HIGH_BITS),
+        "_low": F.shiftright(row_id, LOW_BITS),
+    })
+    offsets, large = _cells(rows.where("_hot"), key, levels, amount, hot.limit)
+    rows = _with_cell(rows, key, levels, large)
     if per_key is not None:
-        # Joined together, so that one shuffle by (key, block) serves join and window.
-        whole = per_key.join(hot, key, "left_anti").withColumn("_block", F.lit(""))
-        split = offsets.join(per_key.join(hot.select(key), key), key, "left")
-        offsets = whole.unionByName(split, allowMissingColumns=True)
+        # Joined together, so that one shuffle by (key, cell) serves join and window.
+        whole = per_key.join(keys, key, "left_anti").withColumn("_cell", F.lit(""))
+        of_cells = offsets.join(F.broadcast(per_key.join(keys, key, "left_semi")), key, "left")
+        offsets = whole.unionByName(of_cells, allowMissingColumns=True)
     # Named here rather than left to the window: rows that arrive partitioned by the key alone
     # would satisfy it and keep a hot key in one task.
-    rows = rows.drop("_parts").repartition(key, "_block").join(offsets, [key, "_block"], "left")
-    scanned = _scan(rows, [key, "_block"], columns, row_id, amount, rank, before)
+    rows = rows.repartition(key, "_cell").join(offsets, [key, "_cell"], "left")
+    scanned = _scan(rows, [key, "_cell"], columns, row_id, amount, rank, before)
     return scanned.withColumns({
         rank: F.col(rank) + F.coalesce("_rows_before", F.lit(0)),
         before: _plus(F.col("_amount_before"), F.col(before)),
-    }).drop("_block", "_rows_before", "_amount_before")
+    }).drop("_cell", "_rows_before", "_amount_before")
 
 
 def _scan(rows, partition, order, row_id, amount, rank, before) -> DataFrame:
@@ -82,60 +84,87 @@ def _scan(rows, partition, order, row_id, amount, rank, before) -> DataFrame:
     )
 
 
-def _block(columns: list[str], low: Column) -> Column:
-    parts = [F.coalesce(F.col(name).cast("string"), F.lit("")) for name in columns]
-    return F.concat_ws("|", *parts, low.cast("string"))
-
-
-def _plus(left: Column, right: Column) -> Column:
-    """Sum of two totals where NULL means no rows."""
-    return F.coalesce(left + right, left, right)
-
+def _cells(rows, key, levels, amount, limit) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows and amount ahead of each cell, and for each level the cells cut further.
 
-def _block_offsets(rows, key, order, row_id, amount) -> DataFrame:
-    """Rows and amount ahead of each block of each hot key."""
-    levels = [*order[:-1], (*order[-1], "_high"), ("_low",)]
-    cells = rows.select(
-        key,
-        *[name for level in order for name in level],
-        F.shiftright(row_id, SUPER_BLOCK_BITS).alias("_high"),
-        F.shiftright(row_id, BLOCK_BITS).alias("_low"),
-        F.lit(1).alias("_rows"),
-        F.col(amount).alias("_amount"),
-    )
-    totals = []
-    for depth in range(len(levels), 0, -1):
-        group = [key, *(name for level in levels[:depth] for name in level)]
-        cells = cells.groupBy(*group).agg(
-            F.sum("_rows").alias("_rows"), F.sum("_amount").alias("_amount")
+    No more than rows/limit cells can be too large, so their lists are as bounded as that of
+    the hot keys and broadcast like it.
+    """
+    rows = rows.select(key, *_flat(levels), F.col(amount).alias("_amount"))
+    finished, large = [], []
+    parents = None
+    for depth, level in enumerate(levels, start=1):
+        outer, group = [key, *_flat(levels[:depth - 1])], [key, *_flat(levels[:depth])]
+        cells = rows.groupBy(*group).agg(
+            F.count(F.lit(1)).alias("_rows"), F.sum("_amount").alias("_amount")
         )
-        totals.append(cells)
-
-    offsets = None
-    for depth, total in enumerate(reversed(totals)):
-        outer = [key, *(name for level in levels[:depth] for name in level)]
-        window = Window.partitionBy(*outer).orderBy(*levels[depth])
+        window = Window.partitionBy(*outer).orderBy(*level)
         earlier = window.rowsBetween(Window.unboundedPreceding, -1)
-        inner = total.select(
-            *outer,
-            *levels[depth],
+        cells = cells.select(
+            *group,
+            "_rows",
             F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_before"),
             F.sum("_amount").over(earlier).alias("_amount_before"),
         )
-        offsets = inner if offsets is None else _add_outer(inner, offsets, outer)
-    return offsets
+        if parents is not None:
+            cells = _add_parents(cells, parents, outer)
+        last = depth == len(levels)
+        done = cells if last else cells.where(F.col("_rows") <= limit)
+        finished.append(
+            done.select(key, _cell_name(group[1:]).alias("_cell"), "_rows_before", "_amount_before")
+        )
+        if not last:
+            parents = cells.where(F.col("_rows") > limit).drop("_rows")
+            large.append(parents.select(*group))
+            rows = _null_safe(rows, large[-1], group, "left_semi")
+    return reduce(DataFrame.unionByName, finished), large
+
+
+def _with_cell(rows, key, levels, large) -> DataFrame:
+    """Rows with the name of their cell; empty for the keys that are not hot."""
+    name = _cell_name(_flat(levels))
+    for depth in range(len(large), 0, -1):
+        group = [key, *_flat(levels[:depth])]
+        flag = f"_large_{depth}"
+        rows = _null_safe(rows, large[depth - 1].withColumn(flag, F.lit(True)), group, "left")
+        name = F.when(F.col(flag).isNull(), _cell_name(group[1:])).otherwise(name)
+    name = F.when(F.col("_hot"), name).otherwise("")
+    flags = [f"_large_{depth}" for depth in range(1, len(large) + 1)]
+    return rows.withColumn("_cell", name).drop("_hot", "_high", "_low", *flags)
+
+
+def _cell_name(columns: list[str]) -> Column:
+    parts = [F.coalesce(F.col(name).cast("string"), F.lit("")) for name in columns]
+    return F.concat_ws("|", *parts)
 
 
-def _add_outer(inner: DataFrame, outer: DataFrame, on: list[str]) -> DataFrame:
-    outer = outer.toDF(*[f"_outer_{name}" for name in outer.columns])
-    same = reduce(
-        lambda a, b: a & b, [F.col(name).eqNullSafe(F.col(f"_outer_{name}")) for name in on]
+def _add_parents(cells: DataFrame, parents: DataFrame, on: list[str]) -> DataFrame:
+    parents = parents.withColumnsRenamed(
+        {"_rows_before": "_parent_rows", "_amount_before": "_parent_amount"}
     )
     return (
-        inner.join(outer, same)
+        _null_safe(cells, parents, on, "inner")
         .withColumns({
-            "_rows_before": F.col("_rows_before") + F.col("_outer__rows_before"),
-            "_amount_before": _plus(F.col("_outer__amount_before"), F.col("_amount_before")),
+            "_rows_before": F.col("_parent_rows") + F.col("_rows_before"),
+            "_amount_before": _plus(F.col("_parent_amount"), F.col("_amount_before")),
         })
-        .select(inner.columns)
+        .select(cells.columns)
     )
+
+
+def _null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join with a bounded right side in which NULL matches NULL."""
+    right = right.withColumnsRenamed({name: f"_right_{name}" for name in on})
+    same = reduce(
+        lambda a, b: a & b, [left[name].eqNullSafe(right[f"_right_{name}"]) for name in on]
+    )
+    return left.join(F.broadcast(right), same, how).drop(*[f"_right_{name}" for name in on])
+
+
+def _plus(left: Column, right: Column) -> Column:
+    """Sum of two totals where NULL means no rows."""
+    return F.coalesce(left + right, left, right)
+
+
+def _flat(levels) -> list[str]:
+    return [name for level in levels for name in level]

@@ -7,6 +7,8 @@ the join.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +16,15 @@ HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 100_000
 
 
-def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows and the ``_parts`` to cut each into, or None.
+class HotKeys(NamedTuple):
+    """Keys with more rows than ``limit``, and the number of ``_parts`` to cut each into."""
+
+    keys: DataFrame
+    limit: int
+
+
+def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> HotKeys | None:
+    """Keys with more than ``hot_rows`` rows, or None where there are none.
 
     Counts the rows, and where they are enough for a hot key, aggregates the key column. No
     more than ``MAX_HOT_KEYS`` keys can each hold more than 1/MAX_HOT_KEYS of all rows, so
@@ -29,14 +38,14 @@ def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame |
     counts = (
         rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     )
-    hot = counts.where(F.col("_rows") > limit).select(
+    keys = counts.where(F.col("_rows") > limit).select(
         key, F.ceil(F.col("_rows") / limit).alias("_parts")
     )
-    return None if hot.isEmpty() else hot
+    return None if keys.isEmpty() else HotKeys(keys, limit)
 
 
 def spread_join(
-    left: DataFrame, right: DataFrame, key: str, row_id: str, hot: DataFrame | None
+    left: DataFrame, right: DataFrame, key: str, row_id: str, hot: HotKeys | None
 ) -> DataFrame:
     """Left join in which the left rows of a hot key go to several tasks.
 
@@ -45,11 +54,11 @@ def spread_join(
     """
     if hot is None:
         return left.join(right, key, "left")
-    hot = F.broadcast(hot)
+    keys = F.broadcast(hot.keys)
     part = F.pmod(F.xxhash64(row_id), F.coalesce("_parts", F.lit(1)))
-    left = left.join(hot, key, "left").withColumn("_part", part).drop("_parts")
+    left = left.join(keys, key, "left").withColumn("_part", part).drop("_parts")
     last = F.coalesce("_parts", F.lit(1)) - 1
-    right = right.join(hot, key, "left").withColumn(
+    right = right.join(keys, key, "left").withColumn(
         "_part", F.explode(F.sequence(F.lit(0).cast("bigint"), last))
     )
     return left.join(right.drop("_parts"), [key, "_part"], "left").drop("_part")

@@ -1,0 +1,87 @@
+"""Shapes of the plans that matter at scale."""
+
+import contextlib
+import io
+
+import pytest
+from pyspark.sql import functions as F
+
+from quayside.operators import allocation, forecast
+from quayside.plans import reports
+from quayside.sources import erp, fixtures
+
+
+def plan(frame, mode=None):
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        frame.explain(mode=mode or "simple")
+    return shown.getvalue()
+
+
+@pytest.fixture
+def stored(spark, tmp_path):
+    """Reader of empty Parquet extracts, so that the plans show what reaches the scans."""
+
+    def reader(extracts):
+        for extract in extracts.values():
+            columns = ", ".join(f"{column} {kind}" for column, _, kind in extract.columns)
+            spark.createDataFrame([], columns).write.parquet(f"{tmp_path}/{extract.source}")
+        return erp.parquet_reader(spark, str(tmp_path))
+
+    return reader
+
+
+@pytest.fixture
+def large_tables(spark):
+    """Plans as for tables too large to broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rank_and_running_sum_share_one_shuffle_and_window(stored, large_tables):
+    tables = erp.allocation_tables(stored(erp.ALLOCATION_EXTRACTS))
+    stock = allocation.stock_levels(tables.movements, tables.items)
+    lines = tables.line_view.join(tables.lines, "line_id").select(
+        "line_id", "item_code", F.lit(0).alias("already_allocated"),
+        F.current_date().alias("promised_date"), F.current_date().alias("document_date"),
+        F.col("line_quantity").alias("due_quantity"),
+    )
+    text = plan(allocation.waterfall_allocate(lines, stock))
+    assert text.count("Window [") == 1
+    by_item = [row for row in text.splitlines() if "Exchange hashpartitioning(item_code" in row]
+    assert len(by_item) == 2  # the lines and the stock, each once
+
+
+def test_filters_and_columns_reach_the_order_scans(stored, large_tables):
+    tables = erp.allocation_tables(stored(erp.ALLOCATION_EXTRACTS))
+    text = plan(allocation.open_lines(tables).select("line_id", "due_quantity"), "formatted")
+    assert "EqualTo(DocumentStatusId,0)" in text and "EqualTo(DocumentTypeID,0)" in text
+    assert "EqualTo(LineTypeID,0)" in text
+    assert "UnitSellingPrice" not in text and "CustomerDocumentNo" not in text
+
+
+def test_filters_reach_the_forecast_scans(stored, large_tables):
+    text = plan(forecast.forecast_base(erp.forecast_tables(stored(erp.FORECAST_EXTRACTS)), "2024-01-01"), "formatted")
+    assert "GreaterThanOrEqual(StartDate,2024-01-01)" in text and "GreaterThan(Quantity,0" in text
+
+
+def test_month_join_has_shuffles_of_its_own(stored, large_tables):
+    tables = erp.forecast_tables(stored(erp.FORECAST_EXTRACTS))
+    text = plan(reports.forecast_gap_rows(tables, "2024-01-01", "2024-06-01 00:00:00"))
+    join = next(row for row in text.splitlines() if "SortMergeJoin" in row and "LeftOuter" in row)
+    depth = len(join) - len(join.lstrip(" :+-"))
+    below = text.splitlines()[text.splitlines().index(join) + 1:]
+    inputs = [row for row in below if depth < len(row) - len(row.lstrip(" :+-")) <= depth + 6 and "Exchange" in row]
+    assert len(inputs) == 2 and all("month" in row for row in inputs)
+
+
+def test_no_cross_products_and_no_python_workers(spark):
+    folder = "/root/testdata/sf0.001"
+    for rows in (
+        reports.allocation_report(fixtures.allocation(spark, folder)),
+        reports.forecast_report(fixtures.forecast(spark, folder), fixtures.FROM_DATE, fixtures.AS_OF),
+    ):
+        text = plan(rows)
+        assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+        assert "Python" not in text
