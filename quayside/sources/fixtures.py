@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quayside.operators.scan import ordered_scan
+from quayside.operators.skew import hot_keys
 from quayside.sources.tables import AllocationTables, BomTables, ForecastTables
 
 # Root product, report moment and earliest date used with these inputs.
@@ -30,6 +32,7 @@ GBP_RATE = 0.85
 FREQUENCIES = {1: "Weekly", 2: "Monthly", 3: "Daily", 4: "Quarterly", 5: "Yearly"}
 PERIODS = 6
 ITEM_ID_STEP = 10_000_000_000
+LINE_ID_STEP = 10_000_000
 
 
 # Columns of the test tables, declared so that no job has to look them up.
@@ -105,12 +108,24 @@ def bom(spark: SparkSession, folder: str) -> BomTables:
 
 
 def _lines(read) -> DataFrame:
-    """Order lines with a unique id; the line number alone repeats within an order."""
-    position = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity"
-    )
-    return read("lineitem").withColumns({
-        "line_id": F.col("l_orderkey") * 1000 + F.row_number().over(position),
+    """Order lines with a unique id; the line number alone repeats within an order.
+
+    The last three of the columns that tell the lines of an order apart are packed into one
+    number, which lets the scan split an order with very many lines.
+    """
+    lineitem = read("lineitem")
+    tail = (
+        F.col("l_suppkey") * 10_000_000
+        + F.unix_date(F.col("l_shipdate").cast("date")) * 100
+        + F.col("l_quantity").cast("bigint")
+    )
+    positions = ordered_scan(
+        lineitem.withColumn("_tail", tail), key="l_orderkey",
+        order=(("l_linenumber",), ("l_partkey",)), row_id="_tail", amount="l_quantity",
+        rank="_position", before="_before", hot=hot_keys(lineitem, "l_orderkey"),
+    )
+    return positions.withColumns({
+        "line_id": F.col("l_orderkey") * LINE_ID_STEP + F.col("_position"),
         "item_code": _code("l_partkey"),
     })
 
