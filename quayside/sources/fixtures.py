@@ -1,12 +1,14 @@
 """Job inputs derived from the order, part and customer tables of the test data.
 
-The rules are those of FIXTURES.md part B. A real installation reads its own extracts with
+The rules are those of FIXTURES.md part B. The bundles hold unevaluated DataFrames and are
+defined once per session and folder, as views would be. A real installation reads its own extracts with
 :mod:`quayside.sources.erp` instead, where line and item ids are given.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +71,7 @@ def _mod(key: str, divisor: int) -> Column:
     return F.col(key) % divisor
 
 
+@cache
 def bom(spark: SparkSession, folder: str) -> BomTables:
     """Each part has an active structure and an inactive one; part p is made of 3p+1 to 3p+4."""
     part = reader(spark, folder)("part")
@@ -154,6 +157,7 @@ def _document(read) -> DataFrame:
     )
 
 
+@cache
 def allocation(spark: SparkSession, folder: str) -> AllocationTables:
     read = reader(spark, folder)
     account_id = F.col("n_nationkey").cast("bigint")
@@ -265,6 +269,7 @@ def _currencies(read) -> DataFrame:
     )
 
 
+@cache
 def forecast(spark: SparkSession, folder: str) -> ForecastTables:
     """Every third order also stands for a forecast of the parts on it, and of some others."""
     read = reader(spark, folder)
