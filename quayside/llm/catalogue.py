@@ -5,12 +5,14 @@ from __future__ import annotations
 from quayside.llm.chat_format import OP4_SQL, op4_chat_format
 from quayside.llm.decontamination import op9_decontamination
 from quayside.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from quayside.llm.jaccard_join import op2_jaccard_join
 from quayside.llm.language_id import op5_language_id
 from quayside.llm.packing import op6_packing
 from quayside.llm.sharding import op8_sharding
 from quayside.llm.url_filters import OP10_SQL, op10_url_filters
 
 QUERIES = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op4_chat_format": op4_chat_format,
     "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
