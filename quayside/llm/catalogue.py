@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quayside.llm.chat_format import OP4_SQL, op4_chat_format
+from quayside.llm.class_lm import op3_class_lm
 from quayside.llm.decontamination import op9_decontamination
 from quayside.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from quayside.llm.jaccard_join import op2_jaccard_join
@@ -13,6 +14,7 @@ from quayside.llm.url_filters import OP10_SQL, op10_url_filters
 
 QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_class_lm": op3_class_lm,
     "op4_chat_format": op4_chat_format,
     "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
