@@ -10,9 +10,11 @@ from quayside.llm.jaccard_join import op2_jaccard_join
 from quayside.llm.language_id import op5_language_id
 from quayside.llm.packing import op6_packing
 from quayside.llm.sharding import op8_sharding
+from quayside.llm.substring_dedup import op1_substring_dedup
 from quayside.llm.url_filters import OP10_SQL, op10_url_filters
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_class_lm": op3_class_lm,
     "op4_chat_format": op4_chat_format,

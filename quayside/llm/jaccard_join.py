@@ -59,18 +59,23 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(LOWER).split() if text else []
 
 
-def shingle_sets(documents: list[list[bytes]], size: int = SHINGLE) -> list[np.ndarray]:
-    """Distinct hashes of each document's shingles, in order."""
-    counts = [len(words) for words in documents]
+def word_hashes(documents: list[list[bytes]]) -> np.ndarray:
     digest = xxhash.xxh3_64_intdigest
-    flat = np.fromiter((digest(w) for words in documents for w in words), np.uint64, sum(counts))
+    return np.fromiter((digest(w) for words in documents for w in words), np.uint64, sum(map(len, documents)))
+
 
-    def rolled(hashes, width):
-        out = hashes[: len(hashes) - width + 1].copy()
-        for i in range(1, width):
-            out = mixed(out) + hashes[i : len(hashes) - width + 1 + i]
-        return mixed(out)
+def rolled(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of ``width`` words."""
+    out = hashes[: len(hashes) - width + 1].copy()
+    for i in range(1, width):
+        out = mixed(out) + hashes[i : len(hashes) - width + 1 + i]
+    return mixed(out)
 
+
+def shingle_sets(documents: list[list[bytes]], size: int = SHINGLE) -> list[np.ndarray]:
+    """Distinct hashes of each document's shingles, in order."""
+    counts = [len(words) for words in documents]
+    flat = word_hashes(documents)
     whole = rolled(flat, size) if len(flat) >= size else flat[:0]
     sets, start = [], 0
     for count in counts:
@@ -159,7 +164,7 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
     return np.concatenate(out), np.concatenate(owners)
 
 
-def _block_rows(signs: np.ndarray, ids: np.ndarray):
+def block_rows(signs: np.ndarray, ids: np.ndarray):
     """Rows (key, id, main) of a block.
 
     Where a signature is frequent in the block only its first set is sent under it; that set and
@@ -209,7 +214,7 @@ class _Stars:
         return bucket[use], ids[start][use], ids[use]
 
 
-def _star_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def star_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     stars, held, count = _Stars(), [], 0
 
     def out():
@@ -263,7 +268,7 @@ def signature_rows(documents: DataFrame, seed: int, percent: int) -> DataFrame:
             unique = {set_id(w, seed): w for w in map(words_of, texts_of(block.column("text"))) if w}
             signs, owners = signatures(shingle_sets(list(unique.values())), bands)
             if len(signs):
-                key, ids, main = _block_rows(signs, np.array(list(unique), np.int64)[owners])
+                key, ids, main = block_rows(signs, np.array(list(unique), np.int64)[owners])
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(main)], ["key", "id", "main"])
 
     return documents.mapInArrow(run, "key bigint, id bigint, main bigint")
@@ -341,7 +346,7 @@ def linked_sets(documents: DataFrame, seed: int, classes: DataFrame, percent: in
     rows = signature_rows(documents, seed, percent)
     stars = stored(
         rows.repartition("key").sortWithinPartitions("key", "id")
-        .mapInArrow(_star_rows, "bucket bigint, center bigint, id bigint"), "stars",
+        .mapInArrow(star_rows, "bucket bigint, center bigint, id bigint"), "stars",
     )
     pairs = stored(_possible(stars.select("center", "id").distinct(), classes, percent), "possible")
 
