@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quayside.session import scratch_folder
 
 BLOCK_BYTES = 4 << 20
+SENT_ROWS = 1 << 18
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -49,3 +50,32 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTE
             size += length
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores in front where a column has it already."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def without_rows(documents: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
+    """Documents less the rows ``dropped`` names by ``keys`` (NULL equals NULL).
+
+    ``dropped`` has, by key, ``_all``: whether every row goes; otherwise one of them stays. A short
+    list, no more than ``SENT_ROWS``, is sent to all tasks; a longer one is joined.
+    """
+    dropped = stored(dropped, "dropped")
+    few = dropped.count() <= SENT_ROWS
+    repeated = not dropped.where("NOT _all").isEmpty()
+    own = {name: free_name(documents.columns, f"dropped_{name}") for name in (*keys, "_all")}
+    marks, every = dropped.withColumnsRenamed(own), F.col(own["_all"])
+    same = F.lit(True)
+    for key in keys:
+        same &= F.col(key).eqNullSafe(F.col(own[key]))
+    marked = documents.join(F.broadcast(marks) if few else marks, same, "left")
+    rows = marked.where(every.isNull()).select(*documents.columns)
+    if repeated:
+        rows = rows.unionByName(marked.where(~every).select(*documents.columns).dropDuplicates(keys))
+    return rows

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quayside.llm.common import LOWER, blocks, stored, table, texts_of
+from quayside.llm.common import LOWER, blocks, free_name, stored, table, texts_of
 
 WINDOW = 10
 SHARD_BYTES = 8 << 20
@@ -177,12 +177,13 @@ def _benchmark_blocks(benchmark: DataFrame, id_column: str, text_column: str):
 def benchmark_matches(
     documents: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     text_column="text", item_column="item_id", item_text_column="text", column="matches", keep=None,
+    count_column="n_words",
 ) -> DataFrame:
-    """Documents (columns ``keep``, or all) with ``n_words`` and ``column``: the longest matches.
+    """Documents (columns ``keep``, or all) with their number of words and their longest matches.
 
     A match is a stretch of words a document and an item share, at least one window long.
     """
-    added = [T.StructField("n_words", T.LongType()), T.StructField(column, T.DataType.fromDDL(MATCHES))]
+    added = [T.StructField(count_column, T.LongType()), T.StructField(column, T.DataType.fromDDL(MATCHES))]
     arrow = pa.list_(pa.struct([("item_id", pa.string()), ("item_start", pa.int64()),
                                 ("start", pa.int64()), ("length", pa.int64())]))
     result, number = documents, 0
@@ -199,7 +200,7 @@ def benchmark_matches(
                 counts = pa.array([len(t) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [*(block.column(c) for c in columns), counts, pa.array(found, arrow)],
-                    [*columns, "n_words", column],
+                    [*columns, count_column, column],
                 )
 
         result = result.mapInArrow(run, T.StructType([*documents.select(*columns).schema.fields, *added]))
@@ -220,8 +221,9 @@ def hits(matches: list[dict]) -> int:
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, **names) -> DataFrame:
     """Documents without any window of the benchmark, with their own columns only."""
-    marked = benchmark_matches(documents, benchmark, size, column="_matches", **names)
-    return marked.where(F.size("_matches") == 0).select(*documents.columns)
+    column, count = (free_name(documents.columns, name) for name in ("matches", "n_words"))
+    marked = benchmark_matches(documents, benchmark, size, column=column, count_column=count, **names)
+    return marked.where(F.size(column) == 0).select(*documents.columns)
 
 
 def op9_decontamination(spark, folder: str) -> DataFrame:

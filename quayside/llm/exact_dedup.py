@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quayside.llm.common import blocks, stored, table, texts_of
+from quayside.llm.common import blocks, free_name, stored, table, texts_of, without_rows
 
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 1024, 12, 16384
 DIGEST_BYTES = (16, 32, 64)
@@ -166,6 +167,24 @@ def exact_duplicates(
     )
 
 
+def without_copies(documents: DataFrame, id_column="doc_id", text_column="text") -> DataFrame:
+    """Documents with one row of each text, all columns as they are."""
+    found = exact_duplicates(documents, id_column, text_column)
+    sha = free_name(documents.columns, "text_sha256")
+    dropped = found.groupBy(F.col("doc_id").alias(id_column), F.col("text_sha256").alias(sha)).agg(
+        (~F.bool_or("kept")).alias("_all"), F.count_if(~F.col("kept")).alias("_dropped")
+    ).where("_dropped > 0").drop("_dropped")
+    columns = documents.columns
+
+    def run(batches):
+        for block in blocks(batches, text_column):
+            shas = [hashlib.sha256(normalised(text or b"")).hexdigest() for text in texts_of(block.column(text_column))]
+            yield pa.RecordBatch.from_arrays([*block.columns, pa.array(shas, pa.string())], [*columns, sha])
+
+    schema = T.StructType([*documents.schema.fields, T.StructField(sha, T.StringType())])
+    return without_rows(documents.mapInArrow(run, schema), dropped, [id_column, sha]).drop(sha)
+
+
 def op7_exact_dedup(spark, folder: str) -> DataFrame:
     """Every row of ``documents`` with the row that stays for its text."""
     return exact_duplicates(table(spark, folder, "documents"))

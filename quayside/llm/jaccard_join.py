@@ -33,8 +33,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quayside.llm.common import LOWER, blocks, stored, table, texts_of
+from quayside.llm.common import LOWER, blocks, free_name, stored, table, texts_of, without_rows
 from quayside.llm.components import connected_components
 
 SHINGLE = 5
@@ -381,11 +382,7 @@ def linked_sets(documents: DataFrame, seed: int, classes: DataFrame, percent: in
     return components
 
 
-def jaccard_components(documents: DataFrame, id_column="doc_id", text_column="text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, id of the word sequence, n_shingles and component_id of every document.
-
-    ``component_id`` is the smallest doc_id that links lead to, the document's own included.
-    """
+def _jaccard_components(documents: DataFrame, id_column: str, text_column: str, percent: int):
     rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     seed = 0
     while True:
@@ -399,16 +396,48 @@ def jaccard_components(documents: DataFrame, id_column="doc_id", text_column="te
         seed += 1  # two word sequences with one number: number them anew
     components = linked_sets(rows, seed, classes, percent)
     merged = stored(_with_component(classes.select("id", "first_doc", "rows"), components, "id", "component"), "merged")
-    least = stored(merged.groupBy("component").agg(
-        F.min("first_doc").alias("component_id"), F.sum("rows").alias("rows")
-    ).where("rows > 1").drop("rows"), "component-ids")
-    named = stored(merged.join(least, "component").select("id", "component_id"), "named")
-    return sets.join(named, "id", "left").select(
+    stays = F.min(F.struct(F.col("first_doc").isNull(), "first_doc", "id"))
+    least = stored(merged.groupBy("component").agg(stays.alias("stays"), F.sum("rows").alias("rows")).where(
+        "rows > 1").select("component", F.col("stays.first_doc").alias("component_id"), F.col("stays.id").alias("stays")
+    ), "component-ids")
+    named = stored(merged.join(least, "component").select("id", "component_id", "stays"), "named")
+    alone = F.col("stays").isNull()
+    found = sets.join(named, "id", "left").select(
         "doc_id", "id", F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        (alone | ((F.col("stays") == F.col("id")) & F.col("doc_id").eqNullSafe(F.col("component_id")))).alias("stays"),
     )
+    return found, seed
+
+
+def jaccard_components(documents: DataFrame, id_column="doc_id", text_column="text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document, and whether it stays for its component.
+
+    ``component_id`` is the smallest doc_id that links lead to, the document's own included.
+    """
+    return _jaccard_components(documents, id_column, text_column, percent)[0].drop("id")
+
+
+def without_near_copies(documents: DataFrame, id_column="doc_id", text_column="text", percent: int = PERCENT) -> DataFrame:
+    """Documents with one row of each component, all columns as they are; all without words stay."""
+    found, seed = _jaccard_components(documents, id_column, text_column, percent)
+    number = free_name(documents.columns, "set_id")
+    repeated = F.count(F.lit(1)) > 1
+    dropped = found.where("id IS NOT NULL").groupBy(F.col("doc_id").alias(id_column), F.col("id").alias(number)).agg(
+        (~F.bool_or("stays")).alias("_all"), repeated.alias("_repeated")
+    ).where("_all OR _repeated").drop("_repeated")
+    columns = documents.columns
+
+    def run(batches):
+        for block in blocks(batches, text_column):
+            split = map(words_of, texts_of(block.column(text_column)))
+            ids = pa.array([set_id(w, seed) if w else None for w in split], pa.int64())
+            yield pa.RecordBatch.from_arrays([*block.columns, ids], [*columns, number])
+
+    schema = T.StructType([*documents.schema.fields, T.StructField(number, T.LongType())])
+    return without_rows(documents.mapInArrow(run, schema), dropped, [id_column, number]).drop(number)
 
 
 def op2_jaccard_join(spark, folder: str) -> DataFrame:
     """Shingle count and component of every document."""
-    return jaccard_components(table(spark, folder, "documents")).drop("id")
+    return jaccard_components(table(spark, folder, "documents")).drop("stays")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quayside.llm.common import blocks, id_remainder, table, texts_of
+from quayside.llm.common import blocks, free_name, id_remainder, table, texts_of
 
 WINDOW = 64
 HIDDEN = 8
@@ -243,13 +243,15 @@ def fit(documents: DataFrame, **names) -> Network | None:
     return train(languages, windows, labels) if languages else None
 
 
-def identify(documents: DataFrame, network: Network | None, text_column="text", keep=None) -> DataFrame:
-    """Documents (columns ``keep``, or all) with ``lang_pred`` and ``score``."""
+def identify(
+    documents: DataFrame, network: Network | None, text_column="text", keep=None, names=("lang_pred", "score")
+) -> DataFrame:
+    """Documents (columns ``keep``, or all) with the predicted language and its score."""
     columns = keep or documents.columns
     plain = network and (network.languages, tuple(network.forward), tuple(network.backward), network.bias)
     shared = documents.sparkSession.sparkContext.broadcast(plain)
     fields = [*documents.select(*columns).schema.fields,
-              T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+              T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
 
     def run(batches):
         network = None
@@ -259,21 +261,28 @@ def identify(documents: DataFrame, network: Network | None, text_column="text",
         for block in blocks(batches, text_column):
             raw = texts_of(block.column(text_column))
             lettered = [bool(t and LETTER.search(t.decode(errors="replace"))) for t in raw]
-            names, scores = [UNKNOWN] * len(raw), [0.0] * len(raw)
+            labels, scores = [UNKNOWN] * len(raw), [0.0] * len(raw)
             if network is not None:
                 at = [i for i, yes in enumerate(lettered) if yes]
                 found = document_probabilities(network, [raw[i] for i in at])
                 for i, p in zip(at, found):
                     best = int(p.argmax())
-                    names[i], scores[i] = network.languages[best], min(1.0, float(p[best]))
+                    labels[i], scores[i] = network.languages[best], min(1.0, float(p[best]))
             yield pa.RecordBatch.from_arrays(
-                [*(block.column(c) for c in columns), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                [*columns, "lang_pred", "score"],
+                [*(block.column(c) for c in columns), pa.array(labels, pa.string()), pa.array(scores, pa.float64())],
+                [*columns, *names],
             )
 
     return documents.mapInArrow(run, T.StructType(fields))
 
 
+def in_some_language(documents: DataFrame, **columns) -> DataFrame:
+    """Documents less those that are in no language: without text or without a letter."""
+    names = [free_name(documents.columns, name) for name in ("lang_pred", "score")]
+    marked = identify(documents, fit(documents, **columns), columns.get("text_column", "text"), names=names)
+    return marked.where(F.col(names[0]) != UNKNOWN).select(*documents.columns)
+
+
 def op5_language_id(spark, folder: str) -> DataFrame:
     """Language of every document, by a network trained on four fifths of them."""
     documents = table(spark, folder, "documents")
