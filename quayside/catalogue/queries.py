@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayside.operators import allocation, bom, forecast, quality
+from quayside.operators.skew import hot_keys
 from quayside.plans import reports
 from quayside.sources import fixtures
 
@@ -117,6 +118,18 @@ def waterfall_allocation_split(spark, folder):
     return waterfall_allocation(spark, folder, split=True)
 
 
+def waterfall_null_items(spark, folder):
+    """Lines whose item code ends in 0 or 5 lose it: one group without stock, cut like any hot item."""
+    tables = fixtures.allocation(spark, folder)
+    lines = allocation.open_lines(tables).withColumn(
+        "item_code", F.when(~F.right("item_code", F.lit(1)).isin("0", "5"), F.col("item_code"))
+    )
+    hot = hot_keys(lines, "item_code", SPLIT_ROWS)
+    return allocation.waterfall_allocate(lines, _stock(tables), hot).select(
+        "line_id", "item_code", "priority_rank", "used_before", "total_stock", "proposed"
+    )
+
+
 def allocation_status(spark, folder):
     rows = allocation.allocation_status(_allocated(fixtures.allocation(spark, folder)))
     return rows.select("line_id", "stock_after", "current_status", "proposed_status")
@@ -225,18 +238,23 @@ def forecast_report(spark, folder):
     )
 
 
+def _months(spark, folder):
+    tables = fixtures.forecast(spark, folder)
+    return reports.month_gap_rows(tables, fixtures.FROM_DATE, fixtures.AS_OF)
+
+
 def customers_behind(spark, folder):
-    rows = forecast.customers_behind(_gap(spark, folder))
+    rows = forecast.customers_behind(_months(spark, folder))
     return _comparable(rows, "unfulfilled_value_gbp")
 
 
 def pipeline_by_month(spark, folder):
-    rows = forecast.pipeline_by_month(_gap(spark, folder))
+    rows = forecast.pipeline_by_month(_months(spark, folder))
     return _comparable(rows, "forecast_value_gbp", "unfulfilled_value_gbp")
 
 
 def over_ordered(spark, folder):
-    return forecast.over_ordered(_gap(spark, folder))
+    return _comparable(forecast.over_ordered(_months(spark, folder)))
 
 
 # --- product hierarchy ----------------------------------------------------------------
@@ -293,6 +311,26 @@ def bom_lead_time(spark, folder):
     return bom.lead_time(_edges(spark, folder), fixtures.BOM_ROOT, days)
 
 
+def _chains(spark, folder):
+    edges = bom.stored_edges(fixtures.chain_edges(spark, folder))
+    return edges, bom.root_products(edges)
+
+
+def bom_chain_requirements(spark, folder):
+    return bom.material_requirements(*_chains(spark, folder))
+
+
+def bom_chain_cost(spark, folder):
+    needed = bom.material_requirements(*_chains(spark, folder))
+    rows = bom.total_cost(bom.cost_rollup(needed, fixtures.part_costs(spark, folder)))
+    return _comparable(rows, "total_cost")
+
+
+def bom_chain_lead_time(spark, folder):
+    days = fixtures.part_lead_days(spark, folder)
+    return bom.longest_lead_time(bom.lead_time(*_chains(spark, folder), days))
+
+
 def input_quality(spark, folder):
     return quality.input_quality(
         fixtures.bom(spark, folder),
@@ -307,12 +345,12 @@ QUERIES: dict[str, Query] = {
         nominal_dedupe, stock_levels, outstanding_lines, outstanding_lines_remapped,
         outstanding_lines_split,
         priority_rank, running_demand, running_demand_split, waterfall_allocation,
-        waterfall_allocation_split, allocation_status, despatch_status, code_labels,
+        waterfall_allocation_split, waterfall_null_items, allocation_status, despatch_status, code_labels,
         fx_transaction, fx_system, allocation_report, forecast_base, forecast_period_dates,
         forecast_normalised, forecast_normalised_month, ordered_quantities, fx_forecast,
         forecast_gap, forecast_report, customers_behind, pipeline_by_month, over_ordered,
         bom_explosion, bom_explosion_recursive, bom_indented, bom_by_type,
         bom_extended_quantity, bom_material_requirements, bom_cost_rollup, bom_where_used,
-        bom_lead_time, input_quality,
+        bom_lead_time, bom_chain_requirements, bom_chain_cost, bom_chain_lead_time, input_quality,
     )
 }

@@ -11,12 +11,15 @@ PATH_LIMIT = 4000
 INDENT = "  "
 
 
-def start_path(code: Column) -> Column:
-    return F.left(code, F.lit(PATH_LIMIT))
+def start_path(code: Column, limit: int | None = PATH_LIMIT) -> Column:
+    """Path of a first component, cut at ``limit`` characters; compared by bytes, as reports sort."""
+    code = F.collate(code, "UTF8_BINARY")
+    return code if limit is None else F.left(code, F.lit(limit))
 
 
-def extend_path(path: Column, code: Column) -> Column:
-    return F.left(F.concat(path, F.lit(PATH_SEPARATOR), code), F.lit(PATH_LIMIT))
+def extend_path(path: Column, code: Column, limit: int | None = PATH_LIMIT) -> Column:
+    code = F.collate(code, "UTF8_BINARY")
+    return start_path(F.concat(path, F.lit(PATH_SEPARATOR), code), limit)
 
 
 def indent(level: Column, code: Column) -> Column:

@@ -3,23 +3,40 @@
 The walks run one level per Spark job. Each level is written to the shared scratch folder and
 the next one starts from there, so lineage stays one level long, a lost executor costs no
 earlier level, and only the columns the next join needs are read back.
+
+``roots`` is one product code, or a DataFrame with a column ``root_code``: the results then have
+that column too, and all roots share one walk. Edges that serve several walks are stored once with
+:func:`stored_edges`.
+
+The explosion ends at a depth, as its report does. The walks that add up (requirements, lead time,
+where-used) have no limit unless one is given, and raise an error where a cycle would never end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayside.functions import text
-from quayside.session import scratch_folder
+from quayside.session import scratch_folder, stored
 from quayside.sources.tables import BomTables
 
 MAX_DEPTH = 20
-EXTENDED_QUANTITY = "decimal(38,6)"
+CYCLE_CHECK = 12  # levels after which an unlimited walk looks for cycles
+
+
+class StoredEdges(NamedTuple):
+    """Edges in the shared folder; the caller removes ``folder`` when done with them."""
 
+    rows: DataFrame
+    folder: str
+
+
+Edges = DataFrame | StoredEdges
 Step = Callable[[DataFrame, DataFrame], DataFrame]
 
 
@@ -45,27 +62,68 @@ def _store(rows: DataFrame, path: str) -> int:
     return seen.get["rows"]
 
 
-def _stored(rows: DataFrame, purpose: str) -> DataFrame:
-    path = scratch_folder(rows.sparkSession, purpose)
-    _store(rows, path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+def stored_edges(edges: DataFrame) -> StoredEdges:
+    """Edges written once, for any number of walks."""
+    folder = scratch_folder(edges.sparkSession, "bom-edges")
+    _store(edges, folder)
+    return StoredEdges(edges.sparkSession.read.schema(edges.schema).parquet(folder), folder)
+
+
+def _rows(edges: Edges) -> DataFrame:
+    return edges.rows if isinstance(edges, StoredEdges) else edges
 
 
-def _walk(edges: DataFrame, start: Callable[[DataFrame], DataFrame], step: Step, max_depth: int) -> DataFrame:
-    """Levels 1 to ``max_depth`` of a walk, with their ``level``, until one is empty."""
-    spark = edges.sparkSession
-    edges = _stored(edges, "bom-edges")
+def root_products(edges: Edges) -> DataFrame:
+    """``root_code`` of the products that are no component of another."""
+    rows = _rows(edges)
+    parents = rows.select(F.col("parent_code").alias("root_code")).distinct()
+    return parents.join(rows, parents["root_code"] == rows["component_code"], "left_anti")
+
+
+def _first_edges(edges: DataFrame, roots: str | DataFrame) -> DataFrame:
+    if isinstance(roots, str):
+        return edges.where(F.col("parent_code") == roots).withColumn("root_code", F.lit(roots))
+    codes = roots.select("root_code").distinct()
+    return edges.join(codes, edges["parent_code"] == codes["root_code"])
+
+
+def _of_roots(rows: DataFrame, roots: str | DataFrame) -> DataFrame:
+    return rows.drop("root_code") if isinstance(roots, str) else rows
+
+
+def _walk(
+    edges: Edges, start: Callable[[DataFrame], DataFrame], step: Step, max_depth: int | None
+) -> DataFrame:
+    """Levels of a walk, with their ``level``, until one is empty or ``max_depth`` is reached."""
+    if max_depth is not None and max_depth < 1:
+        raise ValueError(f"max_depth must be at least 1, not {max_depth}")
+    spark = _rows(edges).sparkSession
+    edges = edges.rows if isinstance(edges, StoredEdges) else stored(edges, "bom-edges")
     folder = scratch_folder(spark, "bom-levels")
     rows = start(edges)
     schema = rows.schema
-    for level in range(1, max_depth + 1):
+    level = 1
+    while True:
         path = f"{folder}/level={level}"
-        if _store(rows, path) == 0:
+        if _store(rows, path) == 0 or level == max_depth:
             break
-        rows = step(spark.read.schema(schema).parquet(path), edges)
+        frontier = spark.read.schema(schema).parquet(path)
+        if max_depth is None and level == CYCLE_CHECK:
+            _refuse_cycles(frontier, edges)
+        rows = step(frontier, edges)
+        level += 1
     return spark.read.schema(T.StructType([*schema.fields, T.StructField("level", T.IntegerType())])).parquet(folder)
 
 
+def _refuse_cycles(frontier: DataFrame, edges: DataFrame) -> None:
+    """Error if what the walk has reached leads into a cycle; a deep hierarchy is none."""
+    endless = endless_products(edges)
+    found = frontier.join(endless, F.col("component_code") == F.col("product_code"), "left_semi")
+    first = found.select("component_code").first()
+    if first is not None:
+        raise ValueError(f"the hierarchy has a cycle below {first[0]}; see endless_products, or give max_depth")
+
+
 def _next_edges(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges below the frontier; its columns come with the prefix ``above_``.
 
@@ -73,62 +131,69 @@ def _next_edges(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     skewed partitions of either side.
     """
     above = frontier.toDF(*[f"above_{name}" for name in frontier.columns])
-    return above.join(edges, above["above_component_code"] == edges["parent_code"])
+    return above.join(edges, above["above_component_code"] == edges["parent_code"]).withColumnRenamed(
+        "above_root_code", "root_code"
+    )
 
 
-def _extended(above: Column, quantity: Column) -> Column:
-    return (above * quantity.cast(EXTENDED_QUANTITY)).cast(EXTENDED_QUANTITY)
+def _factor(quantity: Column) -> Column:
+    """Quantities multiply as doubles: no digits are cut on the way down."""
+    return quantity.cast("double")
 
 
 def explode_bom(
-    edges: DataFrame,
-    root: str,
-    max_depth: int = MAX_DEPTH,
+    edges: Edges,
+    roots: str | DataFrame,
+    max_depth: int | None = MAX_DEPTH,
     extended: bool = False,
     path_parts: bool = False,
+    path_limit: int | None = text.PATH_LIMIT,
 ) -> DataFrame:
-    """All components below ``root``, one row per path, down to ``max_depth`` levels.
+    """All components below the roots, one row per path, down to ``max_depth`` levels.
 
     A shared component appears once per path that leads to it. ``extended`` adds the quantity
     needed for one root, multiplied down the path. ``path_parts`` adds the path as an array,
-    which sorts siblings before children whatever characters the codes hold.
+    which sorts siblings before children whatever characters the codes hold. ``path_limit`` cuts
+    the path; None keeps it whole.
     """
-    line = ["parent_code", "component_code", "description", "component_type", "quantity"]
+    line = ["root_code", "parent_code", "component_code", "description", "component_type", "quantity"]
 
     def start(edges):
         extra = []
         if extended:
-            extra.append(F.col("quantity").cast(EXTENDED_QUANTITY).alias("extended_quantity"))
+            extra.append(_factor(F.col("quantity")).alias("extended_quantity"))
         if path_parts:
             extra.append(F.array("component_code").alias("path_parts"))
-        path = text.start_path(F.col("component_code")).alias("path")
-        return edges.where(F.col("parent_code") == root).select(*line, path, *extra)
+        path = text.start_path(F.col("component_code"), path_limit).alias("path")
+        return _first_edges(edges, roots).select(*line, path, *extra)
 
     def step(frontier, edges):
-        carried = [c for c in frontier.columns if c in ("component_code", "path", "extended_quantity", "path_parts")]
-        below = _next_edges(frontier.select(*carried), edges)
+        needed = ("root_code", "component_code", "path", "extended_quantity", "path_parts")
+        below = _next_edges(frontier.select(*[c for c in frontier.columns if c in needed]), edges)
         extra = []
         if extended:
-            quantity = _extended(F.col("above_extended_quantity"), F.col("quantity"))
+            quantity = F.col("above_extended_quantity") * _factor(F.col("quantity"))
             extra.append(quantity.alias("extended_quantity"))
         if path_parts:
             parts = F.array_append("above_path_parts", F.col("component_code"))
             extra.append(parts.alias("path_parts"))
-        path = text.extend_path(F.col("above_path"), F.col("component_code")).alias("path")
+        path = text.extend_path(F.col("above_path"), F.col("component_code"), path_limit).alias("path")
         return below.select(*line, path, *extra)
 
-    return _walk(edges, start, step, max_depth)
+    return _of_roots(_walk(edges, start, step, max_depth), roots)
 
 
-def explode_bom_recursive(edges: DataFrame, root: str, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """:func:`explode_bom` as one recursive query: lazy, and quicker on small hierarchies.
+def explode_bom_recursive(edges: Edges, root: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """:func:`explode_bom` as one recursive query: quicker on small hierarchies.
 
-    Spark fails such a query at a row limit; the limit is lifted for the session, since the
-    depth already ends the walk.
+    The edges are stored first, so that their joins are not repeated per level. Spark fails such
+    a query beyond ``spark.sql.cteRecursionRowLimit`` rows; a caller who expects more raises that
+    limit, as the depth already ends the walk.
     """
-    spark = edges.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(
+    if max_depth < 1:
+        raise ValueError(f"max_depth must be at least 1, not {max_depth}")
+    rows = (edges if isinstance(edges, StoredEdges) else stored_edges(edges)).rows
+    return rows.sparkSession.sql(
         f"""
         WITH RECURSIVE walk MAX RECURSION LEVEL {int(max_depth) + 1} AS (
             SELECT *, left(component_code, {text.PATH_LIMIT}) AS path, 1 AS level
@@ -143,7 +208,7 @@ def explode_bom_recursive(edges: DataFrame, root: str, max_depth: int = MAX_DEPT
         SELECT * FROM walk
         """,
         args={"root": root, "separator": text.PATH_SEPARATOR, "max_depth": int(max_depth)},
-        edges=edges,
+        edges=rows,
     )
 
 
@@ -152,54 +217,62 @@ def of_type(components: DataFrame, component_type: str) -> DataFrame:
     return components.where(F.col("component_type") == component_type)
 
 
-def material_requirements(edges: DataFrame, root: str, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Total quantity per component for one root, over all paths, and the number of paths.
+def material_requirements(
+    edges: Edges, roots: str | DataFrame, max_depth: int | None = None
+) -> DataFrame:
+    """Total quantity per component for one of each root, over all paths, and the number of paths.
 
     Paths that meet in a component are added up at every level, so a level has at most one row
-    per component however many paths there are.
+    per root and component however many paths there are.
     """
 
     def totals(rows):
-        return rows.groupBy("component_code").agg(
-            F.sum("quantity").cast(EXTENDED_QUANTITY).alias("quantity"),
-            F.sum("paths").alias("paths"),
+        return rows.groupBy("root_code", "component_code").agg(
+            F.sum("quantity").alias("quantity"), F.sum("paths").alias("paths")
         )
 
     def start(edges):
-        return totals(
-            edges.where(F.col("parent_code") == root).select(
-                "component_code",
-                F.col("quantity").cast(EXTENDED_QUANTITY).alias("quantity"),
-                F.lit(1).cast("bigint").alias("paths"),
-            )
-        )
+        return totals(_first_edges(edges, roots).select(
+            "root_code", "component_code", _factor(F.col("quantity")).alias("quantity"),
+            F.lit(1).cast("bigint").alias("paths"),
+        ))
 
     def step(frontier, edges):
-        return totals(
-            _next_edges(frontier, edges).select(
-                "component_code",
-                _extended(F.col("above_quantity"), F.col("quantity")).alias("quantity"),
-                F.col("above_paths").alias("paths"),
-            )
-        )
+        return totals(_next_edges(frontier, edges).select(
+            "root_code", "component_code",
+            (F.col("above_quantity") * _factor(F.col("quantity"))).alias("quantity"),
+            F.col("above_paths").alias("paths"),
+        ))
 
-    return totals(_walk(edges, start, step, max_depth))
+    return _of_roots(totals(_walk(edges, start, step, max_depth)), roots)
 
 
 def cost_rollup(requirements: DataFrame, costs: DataFrame) -> DataFrame:
-    """Unit and extended cost of each required component; ``costs`` has one row per code."""
-    return requirements.join(costs, "component_code").withColumn(
+    """Unit and extended cost of each required component; ``costs`` has one row per code.
+
+    A component without a cost stays, with NULL for both.
+    """
+    return requirements.join(costs, "component_code", "left").withColumn(
         "extended_cost", F.col("quantity") * F.col("unit_cost")
     )
 
 
-def where_used(edges: DataFrame, component: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+def total_cost(costed: DataFrame) -> DataFrame:
+    """Cost of all components per root, and how many of them have no cost in it."""
+    by = [c for c in ("root_code",) if c in costed.columns]
+    return costed.groupBy(*by).agg(
+        F.coalesce(F.sum("extended_cost"), F.lit(0.0)).alias("total_cost"),
+        F.count_if(F.col("unit_cost").isNull()).alias("unpriced"),
+    )
+
+
+def where_used(edges: Edges, component: str, max_depth: int | None = None) -> DataFrame:
     """All products above ``component``, one row per path upwards.
 
     ``component_code`` is the product that uses the last one on the path, ``quantity`` how many
     of that it takes.
     """
-    upwards = edges.select(
+    upwards = _rows(edges).select(
         F.col("component_code").alias("parent_code"),
         F.col("parent_code").alias("component_code"),
         "description", "component_type", "quantity",
@@ -212,38 +285,53 @@ def where_used(edges: DataFrame, component: str, max_depth: int = MAX_DEPTH) ->
 
 
 def lead_time(
-    edges: DataFrame, root: str, lead_days: DataFrame, max_depth: int = MAX_DEPTH
+    edges: Edges, roots: str | DataFrame, lead_days: DataFrame, max_depth: int | None = None,
+    default_days: int = 0,
 ) -> DataFrame:
     """Longest sum of lead days from the root down to each component, over all paths.
 
-    ``lead_days`` has one row per ``component_code``. Only the longest path into a component
-    is followed on from each level.
+    ``lead_days`` has one row per ``component_code``; a component it does not list, or lists
+    without days, takes ``default_days`` and has ``listed`` false. Only the longest path into a
+    component is followed on from each level.
     """
-    timed = edges.join(lead_days, "component_code").select(
-        "parent_code", "component_code", F.col("lead_days").cast("bigint").alias("days")
+    days = F.coalesce(F.col("lead_days").cast("bigint"), F.lit(default_days).cast("bigint"))
+    timed = _rows(edges).join(lead_days, "component_code", "left").select(
+        "parent_code", "component_code", days.alias("days"),
+        F.col("lead_days").isNotNull().alias("listed"),
     )
 
     def longest(rows):
-        return rows.groupBy("component_code").agg(F.max("days").alias("days"))
+        return rows.groupBy("root_code", "component_code").agg(
+            F.max("days").alias("days"), F.bool_and("listed").alias("listed")
+        )
 
     def start(edges):
-        return longest(edges.where(F.col("parent_code") == root))
+        return longest(_first_edges(edges, roots))
 
     def step(frontier, edges):
         days = F.col("above_days") + F.col("days")
-        return longest(_next_edges(frontier, edges).select("component_code", days.alias("days")))
+        below = _next_edges(frontier, edges)
+        return longest(below.select("root_code", "component_code", days.alias("days"), "listed"))
 
     reached = _walk(timed, start, step, max_depth)
-    return longest(reached).withColumnRenamed("days", "longest_days")
+    return _of_roots(longest(reached).withColumnRenamed("days", "longest_days"), roots)
+
+
+def longest_lead_time(lead_times: DataFrame) -> DataFrame:
+    """Lead days of the slowest component per root, and how many components are not listed."""
+    by = [c for c in ("root_code",) if c in lead_times.columns]
+    return lead_times.groupBy(*by).agg(
+        F.max("longest_days").alias("longest_days"), F.count_if(~F.col("listed")).alias("unlisted")
+    )
 
 
-def endless_products(edges: DataFrame) -> DataFrame:
+def endless_products(edges: Edges) -> DataFrame:
     """Products whose explosion never ends: on a cycle or above one.
 
     Products all of whose components end are set aside, round by round, until none is left to
     set aside. The rounds are at most one more than the levels of the deepest finite branch.
     """
-    lines = _stored(edges.select("parent_code", "component_code"), "bom-lines")
+    lines = stored(_rows(edges).select("parent_code", "component_code"), "bom-lines")
     spark = lines.sparkSession
     left = lines.select(F.col("parent_code").alias("product_code")).distinct()
     schema = left.schema

@@ -19,11 +19,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quayside.operators.skew import HotKeys
+from quayside.operators.skew import HotKeys, flag_hot
+from quayside.session import stored
 
 LOW_BITS = 20
 HIGH_BITS = 40
+NULL_CELL = "null"  # cells of rows without a key start so, all others do not
 
 Levels = tuple[tuple[str, ...], ...]
 
@@ -41,56 +44,94 @@ def ordered_scan(
 ) -> DataFrame:
     """Add the row number within ``key`` and the sum of ``amount`` over the rows before.
 
-    ``order`` lists the order columns (numbers or dates, NULLs first) in groups, coarse to
-    fine; the unique integer ``row_id`` comes last. ``per_key`` is left-joined on the same
-    shuffle. ``before`` is NULL on the first row.
+    ``order`` lists the order columns (numbers, dates or timestamps, NULLs first) in groups, coarse
+    to fine; the unique integer ``row_id`` comes last. ``per_key`` is left-joined on the same
+    shuffle. ``before`` is NULL on the first row. Its type is the same with and without ``hot``:
+    decimals get 38 digits, doubles stay, integers become bigint. Rows with a NULL key are one group.
     """
     columns = [name for level in order for name in level]
+    kind = _total_type(rows.schema[amount].dataType)
+    given = [*rows.columns, *([c for c in per_key.columns if c != key] if per_key is not None else [])]
     if hot is None:
         if per_key is not None:
-            rows = rows.join(per_key, key, "left")
-        return _scan(rows, [key], columns, row_id, amount, rank, before)
+            rows = rows.join(per_key, key, "left").select(*given)
+        return _scan(rows, [key], columns, row_id, amount, rank, before, kind)
 
-    keys = F.broadcast(hot.keys.select(key, F.lit(True).alias("_hot")))
-    levels = [*order[:-1], (*order[-1], "_high"), ("_low",)]
-    rows = rows.join(keys, key, "left").withColumns({
+    levels, days = _levels(rows, order)
+    rows = flag_hot(rows, hot, key, F.lit(True).alias("_hot")).withColumns({
+        **days,
         "_high": F.shiftright(row_id, HIGH_BITS),
         "_low": F.shiftright(row_id, LOW_BITS),
     })
-    offsets, large = _cells(rows.where("_hot"), key, levels, amount, hot.limit)
+    # The hot rows' few columns are written once; every level of cells is made from there.
+    narrow = stored(rows.where("_hot").select(key, *_flat(levels), F.col(amount).alias("_amount")), "hot-rows")
+    offsets, large = _cells(narrow, key, levels, hot.limit)
     rows = _with_cell(rows, key, levels, large)
+    plain = _plain_key(rows, key)
     if per_key is not None:
         # Joined together, so that one shuffle by (key, cell) serves join and window.
-        whole = per_key.join(keys, key, "left_anti").withColumn("_cell", F.lit(""))
-        of_cells = offsets.join(F.broadcast(per_key.join(keys, key, "left_semi")), key, "left")
-        offsets = whole.unionByName(of_cells, allowMissingColumns=True)
+        own = _plain_key(per_key.where(F.col(key).isNotNull()), key)
+        whole = own.join(F.broadcast(hot.keys.select(key)), key, "left_anti").withColumn("_cell", F.lit(""))
+        of_hot = own.join(F.broadcast(hot.keys.select(key)), key, "left_semi").drop(key)
+        of_hot = of_hot.withColumnRenamed("_key", "_own")
+        found = (offsets["_key"] == of_hot["_own"]) & ~F.startswith(offsets["_cell"], F.lit(NULL_CELL))
+        of_cells = offsets.join(F.broadcast(of_hot), found, "left").drop("_own")
+        offsets = whole.drop(key).unionByName(of_cells, allowMissingColumns=True)
     # Named here rather than left to the window: rows that arrive partitioned by the key alone
     # would satisfy it and keep a hot key in one task.
-    rows = rows.repartition(key, "_cell").join(offsets, [key, "_cell"], "left")
-    scanned = _scan(rows, [key, "_cell"], columns, row_id, amount, rank, before)
+    rows = plain.repartition("_key", "_cell").join(offsets, ["_key", "_cell"], "left")
+    scanned = _scan(rows, ["_key", "_cell"], columns, row_id, amount, rank, before, kind)
     return scanned.withColumns({
         rank: F.col(rank) + F.coalesce("_rows_before", F.lit(0)),
-        before: _plus(F.col("_amount_before"), F.col(before)),
-    }).drop("_cell", "_rows_before", "_amount_before")
+        before: _plus(F.col("_amount_before"), F.col(before)).cast(kind),
+    }).select(*given, rank, before)
 
 
-def _scan(rows, partition, order, row_id, amount, rank, before) -> DataFrame:
+def _total_type(kind: T.DataType) -> str:
+    if isinstance(kind, T.DecimalType):
+        return f"decimal(38,{kind.scale})"
+    return "double" if isinstance(kind, T.FractionalType) else "bigint"
+
+
+def _levels(rows: DataFrame, order: Levels) -> tuple[list[tuple[str, ...]], dict[str, Column]]:
+    """Levels of cells: a timestamp by its day first, then whole; the bits of the row id last."""
+    levels, days = [], {}
+    for level in order:
+        names: list[str] = []
+        for name in level:
+            if isinstance(rows.schema[name].dataType, (T.TimestampType, T.TimestampNTZType)):
+                days[f"_day_{name}"] = F.to_date(name)
+                levels.append((*names, f"_day_{name}"))
+                names = []
+            names.append(name)
+        levels.append(tuple(names))
+    levels[-1] = (*levels[-1], "_high")
+    return [*levels, ("_low",)], days
+
+
+def _plain_key(rows: DataFrame, key: str) -> DataFrame:
+    """Rows with ``_key``: the key, or for NULL a value that joins; cells tell the two apart."""
+    kind = rows.schema[key].dataType
+    nothing = F.lit("") if isinstance(kind, T.StringType) else F.lit(0).cast(kind)
+    return rows.withColumn("_key", F.coalesce(key, nothing))
+
+
+def _scan(rows, partition, order, row_id, amount, rank, before, kind) -> DataFrame:
     window = Window.partitionBy(*partition).orderBy(*order, row_id)
     earlier = window.rowsBetween(Window.unboundedPreceding, -1)
     return rows.select(
         "*",
         F.row_number().over(window).cast("bigint").alias(rank),
-        F.sum(amount).over(earlier).alias(before),
+        F.sum(amount).over(earlier).cast(kind).alias(before),
     )
 
 
-def _cells(rows, key, levels, amount, limit) -> tuple[DataFrame, list[DataFrame]]:
+def _cells(rows, key, levels, limit) -> tuple[DataFrame, list[DataFrame]]:
     """Rows and amount ahead of each cell, and for each level the cells cut further.
 
     No more than rows/limit cells can be too large, so their lists are as bounded as that of
     the hot keys and broadcast like it.
     """
-    rows = rows.select(key, *_flat(levels), F.col(amount).alias("_amount"))
     finished, large = [], []
     parents = None
     for depth, level in enumerate(levels, start=1):
@@ -110,9 +151,8 @@ def _cells(rows, key, levels, amount, limit) -> tuple[DataFrame, list[DataFrame]
             cells = _add_parents(cells, parents, outer)
         last = depth == len(levels)
         done = cells if last else cells.where(F.col("_rows") <= limit)
-        finished.append(
-            done.select(key, _cell_name(group[1:]).alias("_cell"), "_rows_before", "_amount_before")
-        )
+        name = _cell_name(key, group[1:]).alias("_cell")
+        finished.append(_plain_key(done, key).select("_key", name, "_rows_before", "_amount_before"))
         if not last:
             parents = cells.where(F.col("_rows") > limit).drop("_rows")
             large.append(parents.select(*group))
@@ -122,20 +162,20 @@ def _cells(rows, key, levels, amount, limit) -> tuple[DataFrame, list[DataFrame]
 
 def _with_cell(rows, key, levels, large) -> DataFrame:
     """Rows with the name of their cell; empty for the keys that are not hot."""
-    name = _cell_name(_flat(levels))
+    name = _cell_name(key, _flat(levels))
     for depth in range(len(large), 0, -1):
         group = [key, *_flat(levels[:depth])]
         flag = f"_large_{depth}"
         rows = _null_safe(rows, large[depth - 1].withColumn(flag, F.lit(True)), group, "left")
-        name = F.when(F.col(flag).isNull(), _cell_name(group[1:])).otherwise(name)
-    name = F.when(F.col("_hot"), name).otherwise("")
+        name = F.when(F.col(flag).isNull(), _cell_name(key, group[1:])).otherwise(name)
+    name = F.when(F.col("_hot"), name).when(F.col(key).isNull(), NULL_CELL).otherwise("")
     flags = [f"_large_{depth}" for depth in range(1, len(large) + 1)]
-    return rows.withColumn("_cell", name).drop("_hot", "_high", "_low", *flags)
+    return rows.withColumn("_cell", name).drop("_hot", *flags)
 
 
-def _cell_name(columns: list[str]) -> Column:
+def _cell_name(key: str, columns: list[str]) -> Column:
     parts = [F.coalesce(F.col(name).cast("string"), F.lit("")) for name in columns]
-    return F.concat_ws("|", *parts)
+    return F.concat_ws("|", F.when(F.col(key).isNull(), NULL_CELL).otherwise("cell"), *parts)
 
 
 def _add_parents(cells: DataFrame, parents: DataFrame, on: list[str]) -> DataFrame:

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from quayside.session import scratch_folder
+
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 100_000
 
@@ -24,24 +26,31 @@ class HotKeys(NamedTuple):
 
 
 def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> HotKeys | None:
-    """Keys with more than ``hot_rows`` rows, or None where there are none.
+    """Keys with more than ``hot_rows`` rows (NULL among them), or None where there are none.
 
-    Counts the rows, and where they are enough for a hot key, aggregates the key column. No
-    more than ``MAX_HOT_KEYS`` keys can each hold more than 1/MAX_HOT_KEYS of all rows, so
-    raising the limit to that share bounds the list, which is broadcast, and the sum of its
-    parts to twice that number.
+    One job counts the rows of each key, reading the key column alone, and leaves the counts in
+    the shared folder. No more than ``MAX_HOT_KEYS`` keys can each hold more than 1/MAX_HOT_KEYS of
+    all rows, so raising the limit to that share bounds the list, which is broadcast, and the sum
+    of its parts to twice that number.
     """
-    total = rows.count()
-    if total <= hot_rows:
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    path = scratch_folder(rows.sparkSession, "key-rows")
+    seen = Observation()
+    counts.observe(seen, F.sum("_rows").alias("total"), F.max("_rows").alias("most")).write.parquet(path)
+    limit = max(hot_rows, (seen.get["total"] or 0) // MAX_HOT_KEYS)
+    if (seen.get["most"] or 0) <= limit:
         return None
-    limit = max(hot_rows, total // MAX_HOT_KEYS)
-    counts = (
-        rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    )
+    counts = rows.sparkSession.read.schema(counts.schema).parquet(path)
     keys = counts.where(F.col("_rows") > limit).select(
         key, F.ceil(F.col("_rows") / limit).alias("_parts")
     )
-    return None if keys.isEmpty() else HotKeys(keys, limit)
+    return HotKeys(keys, limit)
+
+
+def flag_hot(rows: DataFrame, hot: HotKeys, key: str, *columns: Column) -> DataFrame:
+    """Rows with columns of their hot key; NULL keys find the hot key NULL."""
+    marks = hot.keys.select(F.col(key).alias("_hot_key"), *columns)
+    return rows.join(F.broadcast(marks), rows[key].eqNullSafe(marks["_hot_key"]), "left").drop("_hot_key")
 
 
 def spread_join(
@@ -54,11 +63,10 @@ def spread_join(
     """
     if hot is None:
         return left.join(right, key, "left")
-    keys = F.broadcast(hot.keys)
     part = F.pmod(F.xxhash64(row_id), F.coalesce("_parts", F.lit(1)))
-    left = left.join(keys, key, "left").withColumn("_part", part).drop("_parts")
+    left = flag_hot(left, hot, key, F.col("_parts")).withColumn("_part", part).drop("_parts")
     last = F.coalesce("_parts", F.lit(1)) - 1
-    right = right.join(keys, key, "left").withColumn(
+    right = flag_hot(right, hot, key, F.col("_parts")).withColumn(
         "_part", F.explode(F.sequence(F.lit(0).cast("bigint"), last))
     )
     return left.join(right.drop("_parts"), [key, "_part"], "left").drop("_part")

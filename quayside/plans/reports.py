@@ -92,12 +92,16 @@ def _sorted(rows: DataFrame, ordered: bool, *keys: str | Column) -> DataFrame:
 
 
 def bom_report(
-    tables: BomTables, root: str, max_depth: int = bom.MAX_DEPTH, ordered: bool = True
+    tables: BomTables, root: str, max_depth: int | None = bom.MAX_DEPTH, ordered: bool = True,
+    path_limit: int | None = text.PATH_LIMIT,
 ) -> DataFrame:
-    """Indented explosion of one product, parents ahead of their components."""
-    rows = bom.explode_bom(bom.bom_edges(tables), root, max_depth)
+    """Indented explosion of one product, parents ahead of their components.
+
+    Paths that agree as far as they are kept are told apart by the whole path.
+    """
+    rows = bom.explode_bom(bom.bom_edges(tables), root, max_depth, path_parts=True, path_limit=path_limit)
     component = text.indent(F.col("level"), F.col("component_code"))
-    rows = _sorted(rows.withColumn("component", component), ordered, "path")
+    rows = _sorted(rows.withColumn("component", component), ordered, "path", "path_parts")
     return display_columns(rows, BOM_LABELS)
 
 
@@ -136,6 +140,18 @@ def forecast_gap_rows(
     return forecast.forecast_gap(normalised, ordered, tables)
 
 
+def month_gap_rows(
+    tables: ForecastTables,
+    from_date: date | str,
+    as_of: datetime | str | Column | None = None,
+    days: int = 60,
+) -> DataFrame:
+    """Forecast gap per customer, product and month, from the source tables."""
+    dated = forecast.with_period_date(forecast.forecast_base(tables, from_date))
+    normalised = forecast.normalise_forecast(dated, as_of, days)
+    return forecast.month_gap(normalised, forecast.ordered_quantities(tables, from_date), tables)
+
+
 def forecast_report(
     tables: ForecastTables,
     from_date: date | str,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
 
@@ -44,3 +44,10 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
             root = _LOCAL_SCRATCH.setdefault(app, "") or tempfile.mkdtemp(prefix="quayside-")
             _LOCAL_SCRATCH[app] = root
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame, purpose: str) -> DataFrame:
+    """Rows written to the shared scratch folder and read back from there."""
+    path = scratch_folder(rows.sparkSession, purpose)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quayside.sources.tables import AllocationTables, BomTables, ForecastTables
 
-QUANTITY = "decimal(18,5)"
-MONEY = "decimal(18,6)"
+# Kinds that keep the type of the extract, so that no digit and no time of day is lost.
+NUMBER = "number"
+MOMENT = "moment"
 
 
 class Extract(NamedTuple):
@@ -37,7 +39,7 @@ BOM_EXTRACTS = {
         ("PartNumber", "part_number", "string"),
         ("Description", "description", "string"),
         ("ComponentType", "component_type", "string"),
-        ("QuantityRequired", "quantity_required", QUANTITY),
+        ("QuantityRequired", "quantity_required", NUMBER),
     )),
 }
 
@@ -54,17 +56,17 @@ ALLOCATION_EXTRACTS = {
     )),
     "movements": Extract("MovementBalance", (
         ("ItemID", "item_id", "bigint"),
-        ("OpeningStockLevel", "opening_stock", QUANTITY),
-        ("StockLevelIssued", "stock_issued", QUANTITY),
+        ("OpeningStockLevel", "opening_stock", NUMBER),
+        ("StockLevelIssued", "stock_issued", NUMBER),
     )),
     "lines": Extract("SOPOrderLine", (
         ("SOPOrderLineID", "line_id", "bigint"),
         ("SOPOrderReturnID", "order_id", "bigint"),
         ("PrintSequenceNumber", "line_number", "int"),
-        ("LineQuantity", "line_quantity", QUANTITY),
-        ("DespatchReceiptQuantity", "despatched_quantity", QUANTITY),
-        ("InvoiceCreditQuantity", "invoiced_quantity", QUANTITY),
-        ("AllocatedQuantity", "allocated_quantity", QUANTITY),
+        ("LineQuantity", "line_quantity", NUMBER),
+        ("DespatchReceiptQuantity", "despatched_quantity", NUMBER),
+        ("InvoiceCreditQuantity", "invoiced_quantity", NUMBER),
+        ("AllocatedQuantity", "allocated_quantity", NUMBER),
         ("LineTypeID", "line_type", "int"),
         ("NominalSpecificationID", "nominal_id", "bigint"),
     )),
@@ -75,10 +77,10 @@ ALLOCATION_EXTRACTS = {
         ("DocumentNo", "document_no", "string"),
         ("CustomerDocumentNo", "customer_document_no", "string"),
         ("SourceDocumentNo", "source_document_no", "string"),
-        ("ExchangeRate", "exchange_rate", MONEY),
-        ("DocumentDate", "document_date", "date"),
-        ("RequestedDeliveryDate", "requested_date", "date"),
-        ("PromisedDeliveryDate", "promised_date", "date"),
+        ("ExchangeRate", "exchange_rate", NUMBER),
+        ("DocumentDate", "document_date", MOMENT),
+        ("RequestedDeliveryDate", "requested_date", MOMENT),
+        ("PromisedDeliveryDate", "promised_date", MOMENT),
         ("DocumentTypeID", "document_type", "int"),
         ("DocumentStatusId", "document_status", "int"),
     )),
@@ -91,18 +93,18 @@ ALLOCATION_EXTRACTS = {
         ("SOPOrderLineID", "line_id", "bigint"),
         ("ItemCode", "item_code", "string"),
         ("ItemDescription", "item_description", "string"),
-        ("LineQuantity", "quantity", QUANTITY),
-        ("UnitSellingPrice", "unit_price", MONEY),
-        ("LineTotalValue", "line_value", MONEY),
+        ("LineQuantity", "quantity", NUMBER),
+        ("UnitSellingPrice", "unit_price", NUMBER),
+        ("LineTotalValue", "line_value", NUMBER),
     )),
     "currencies": Extract("Currency", (
         ("CurrencyID", "currency_id", "bigint"),
         ("Symbol", "currency", "string"),
-        ("OneUnitBaseEquals", "base_rate", MONEY),
+        ("OneUnitBaseEquals", "base_rate", NUMBER),
     )),
     "system_currency": Extract("SystemCurrency", (
         ("CurrencyID", "currency_id", "bigint"),
-        ("OneEuroEquals", "gbp_rate", MONEY),
+        ("OneEuroEquals", "gbp_rate", NUMBER),
     )),
 }
 
@@ -113,7 +115,7 @@ FORECAST_EXTRACTS = {
         ("CustomerID", "customer_id", "bigint"),
         ("FrequencyID", "frequency_id", "bigint"),
         ("ForecastReference", "forecast_reference", "string"),
-        ("StartDate", "start_date", "date"),
+        ("StartDate", "start_date", MOMENT),
     )),
     "frequencies": Extract("SalesForecastFrequency", (
         ("FrequencyID", "frequency_id", "bigint"),
@@ -127,7 +129,7 @@ FORECAST_EXTRACTS = {
     "quantities": Extract("SalesForecastQuantity", (
         ("ForecastItemID", "forecast_item_id", "bigint"),
         ("PeriodID", "period_id", "bigint"),
-        ("Quantity", "quantity", QUANTITY),
+        ("Quantity", "quantity", NUMBER),
     )),
     "periods": Extract("SalesForecastPeriod", (
         ("PeriodID", "period_id", "bigint"),
@@ -143,13 +145,13 @@ FORECAST_EXTRACTS = {
     "order_lines": Extract("SalesOrderLine", (
         ("OrderID", "order_id", "bigint"),
         ("LineNumber", "line_number", "bigint"),
-        ("PromisedDeliveryDate", "promised_date", "date"),
+        ("PromisedDeliveryDate", "promised_date", MOMENT),
     )),
     "order_line_view": Extract("SalesOrderLineView", (
         ("OrderID", "order_id", "bigint"),
         ("LineNumber", "line_number", "bigint"),
         ("ProductCode", "product_code", "string"),
-        ("OrderQuantity", "order_quantity", QUANTITY),
+        ("OrderQuantity", "order_quantity", NUMBER),
     )),
     "customers": Extract("CustomerAccount", (
         ("CustomerID", "customer_id", "bigint"),
@@ -164,26 +166,37 @@ FORECAST_EXTRACTS = {
     "prices": Extract("ProductPrice", (
         ("ProductID", "product_id", "bigint"),
         ("PriceBandID", "price_band_id", "bigint"),
-        ("UnitPrice", "unit_price", MONEY),
+        ("UnitPrice", "unit_price", NUMBER),
     )),
     "currencies": Extract("SystemCurrency", (
         ("CurrencyID", "currency_id", "bigint"),
         ("CurrencySymbol", "currency", "string"),
-        ("ExchangeRateToBase", "base_rate", MONEY),
-        ("GBPExchangeRate", "gbp_rate", MONEY),
+        ("ExchangeRateToBase", "base_rate", NUMBER),
+        ("GBPExchangeRate", "gbp_rate", NUMBER),
     )),
 }
 
 
+def _typed(column: Column, kind: str, given: T.DataType) -> Column:
+    if kind == NUMBER:
+        return column if isinstance(given, T.NumericType) else column.cast("double")
+    if kind == MOMENT:
+        return column if isinstance(given, T.DatetimeType) else column.cast("timestamp_ntz")
+    return column.cast(kind)
+
+
 def conform(df: DataFrame, extract: Extract, collation: str | None = None) -> DataFrame:
     """Pick, rename and cast the columns of one extract.
 
+    Numbers and dates stay as they are; written as text they become doubles and timestamps
+    without zone.
+
     ``collation`` (such as ``UTF8_LCASE_RTRIM``) makes every later comparison of its
     strings follow that collation; the default is binary.
     """
     columns = []
     for source, name, kind in extract.columns:
-        column = F.col(source).cast(kind)
+        column = _typed(F.col(source), kind, df.select(source).schema[0].dataType)
         if collation and kind == "string":
             column = F.collate(column, collation)
         columns.append(column.alias(name))

@@ -33,6 +33,7 @@ CURRENCIES = {
 GBP_RATE = 0.85
 FREQUENCIES = {1: "Weekly", 2: "Monthly", 3: "Daily", 4: "Quarterly", 5: "Yearly"}
 PERIODS = 6
+CHAIN = 40
 ITEM_ID_STEP = 10_000_000_000
 LINE_ID_STEP = 10_000_000
 
@@ -271,20 +272,22 @@ def _currencies(read) -> DataFrame:
 
 @cache
 def forecast(spark: SparkSession, folder: str) -> ForecastTables:
-    """Every third order also stands for a forecast of the parts on it, and of some others."""
+    """Every order also stands for a forecast of the parts on it, and of some others.
+
+    Ids hold as long as part keys stay below 10**9 and order keys below 9 * 10**8.
+    """
     read = reader(spark, folder)
     part = read("part")
     part_count = part.agg(F.count(F.lit(1)).alias("n")).scalar()
 
     documents = _document(read)
-    forecast_lines = read("lineitem").where(_mod("l_orderkey", 3) == 0)
+    forecast_lines = read("lineitem")
     starts = forecast_lines.groupBy(F.col("l_orderkey").alias("order_id")).agg(
         F.min("l_shipdate").cast("date").alias("start_date")
     )
     order = F.col("order_id")
     headers = (
-        documents.where(order % 3 == 0)
-        .join(starts, "order_id")
+        documents.join(starts, "order_id")
         .select(
             order.alias("forecast_id"),
             "customer_id",
@@ -388,13 +391,27 @@ def _prices(part: DataFrame) -> DataFrame:
 
 
 def part_costs(spark: SparkSession, folder: str) -> DataFrame:
-    return reader(spark, folder)("part").select(
+    """Retail prices stand in for costs; every eleventh part has none."""
+    return reader(spark, folder)("part").where(_mod("p_partkey", 11) != 0).select(
         _code("p_partkey").alias("component_code"), F.col("p_retailprice").alias("unit_cost")
     )
 
 
 def part_lead_days(spark: SparkSession, folder: str) -> DataFrame:
-    """The test data has no lead times; the part size stands in for the days."""
-    return reader(spark, folder)("part").select(
+    """The test data has no lead times; the part size stands in, and every seventh part has none."""
+    return reader(spark, folder)("part").where(_mod("p_partkey", 7) != 0).select(
         _code("p_partkey").alias("component_code"), F.col("p_size").alias("lead_days")
     )
+
+
+def chain_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Chains of forty parts, each made of half or one and a half of the next."""
+    part = reader(spark, folder)("part")
+    below = part.select(
+        (F.col("p_partkey") - 1).alias("above_key"), _code("p_partkey").alias("component_code"),
+        F.col("p_name").alias("description"), F.col("p_type").alias("component_type"),
+    ).where((F.col("above_key") + 1) % CHAIN != 0)
+    return part.join(below, F.col("p_partkey") == F.col("above_key")).select(
+        _code("p_partkey").alias("parent_code"), "component_code", "description", "component_type",
+        F.when(_mod("p_partkey", 2) == 0, 0.5).otherwise(1.5).alias("quantity"),
+    )

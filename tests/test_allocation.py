@@ -237,3 +237,38 @@ def test_decimals_stay_exact(table):
     stock = table("item_code string, current_stock decimal(28,5)", ("X", Decimal("0.25")))
     rows = allocation.waterfall_allocate(lines, stock).orderBy("line_id").collect()
     assert [r.proposed for r in rows] == [Decimal("0.1"), Decimal("0.1"), Decimal("0.05")]
+
+
+@pytest.mark.parametrize("kind, total", [("decimal(18,5)", "decimal(38,5)"), ("double", "double"), ("bigint", "bigint")])
+def test_types_do_not_depend_on_the_split(spark, kind, total):
+    lines = spark.range(300).select(
+        F.col("id").alias("line_id"), F.concat(F.lit("I"), F.col("id") % 2).alias("item_code"),
+        F.lit(0).alias("already_allocated"), F.lit(DAY).alias("promised_date"), F.lit(DAY).alias("document_date"),
+        F.lit(2).cast(kind).alias("due_quantity"),
+    )
+    whole = allocation.running_demand(lines)
+    split = allocation.running_demand(lines, hot_keys(lines, "item_code", 50))
+    assert split.dtypes == whole.dtypes
+    assert dict(whole.dtypes)["used_before"] == total
+    assert sorted(map(tuple, split.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+
+
+def test_lines_without_item_are_one_group_cut_like_any_other(spark, without_adaptive):
+    at = F.timestamp_add("MINUTE", (F.col("id") * 7).cast("int"), F.lit("2024-05-01 00:00:00").cast("timestamp_ntz"))
+    lines = spark.range(1000).select(
+        F.col("id").alias("line_id"), F.when(F.col("id") % 10 == 0, "").alias("item_code"),
+        F.lit(0).alias("already_allocated"), at.alias("promised_date"), F.lit(DAY).alias("document_date"),
+        F.lit(1.0).alias("due_quantity"),
+    )
+    hot = hot_keys(lines, "item_code", 90)
+    assert hot.keys.count() == 2
+    stock = spark.createDataFrame([("", 5.0), (None, 9.0)], "item_code string, current_stock double")
+    whole = allocation.waterfall_allocate(lines, stock)
+    split = allocation.waterfall_allocate(lines, stock, hot)
+    assert split.dtypes == whole.dtypes
+    assert sorted(map(tuple, split.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+    per_task = split.where("item_code IS NULL").groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) > 1
+    joined = allocation.with_stock(lines, stock, hot).where("item_code IS NULL")
+    assert joined.where("total_stock <> 0").count() == 0
+    assert len(joined.groupBy(F.spark_partition_id()).count().collect()) > 1

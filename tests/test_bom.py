@@ -77,6 +77,13 @@ def test_path_is_cut_and_unknown_root_is_empty(table, walk):
     assert walk(graph, "NONE").count() == 0
 
 
+def test_whole_paths_and_their_order(tree, table):
+    long = "X" * 3000
+    graph = edges(table, ("R", long, 1), (long, long + "2", 1))
+    assert max(len(r.path) for r in bom.explode_bom(graph, "R", path_limit=None).collect()) == 6005
+    assert [r["Level"] for r in reports.bom_report(tree, "ROOT", path_limit=None).collect()] == [1, 2, 3, 2]
+
+
 def test_repeated_lines_stay_apart(table):
     graph = edges(table, ("R", "A", 1), ("R", "A", 2), ("A", "B", 1))
     assert bom.explode_bom(graph, "R").count() == 4
@@ -127,6 +134,49 @@ def test_lead_time_follows_the_longest_path(table):
     assert {r.component_code: r.longest_days for r in rows} == {"A": 2, "B": 9, "S": 10}
 
 
+def test_component_without_lead_time_or_cost_stays(table):
+    graph = edges(table, ("R", "A", 1), ("A", "B", 2), ("B", "C", 1))
+    times = bom.lead_time(graph, "R", table("component_code string, lead_days int", ("B", 4), ("C", None)))
+    assert sorted(map(tuple, times.collect())) == [("A", 0, False), ("B", 4, True), ("C", 4, False)]
+    assert tuple(bom.longest_lead_time(times).first()) == (4, 2)
+    costed = bom.cost_rollup(bom.material_requirements(graph, "R"), table("component_code string, unit_cost double", ("B", 3.0)))
+    assert sorted((r.component_code, r.extended_cost) for r in costed.collect()) == [("A", None), ("B", 6.0), ("C", None)]
+    assert tuple(bom.total_cost(costed).first()) == (6.0, 2)
+
+
+def test_totals_have_no_depth_limit_and_no_rounding(table):
+    graph = edges(table, *[(f"N{i}", f"N{i + 1}", 0.01) for i in range(25)])
+    needed = {r.component_code: r.quantity for r in bom.material_requirements(graph, "N0").collect()}
+    assert len(needed) == 25 and needed["N4"] == pytest.approx(1e-8)
+    assert bom.where_used(graph, "N25").count() == 25
+    assert bom.material_requirements(graph, "N0", max_depth=3).count() == 3
+    assert bom.explode_bom(graph, "N0").count() == 20
+
+
+def test_cycles_and_bad_depths_are_refused(table):
+    graph = edges(table, ("R", "A", 1), ("A", "B", 1), ("B", "A", 1))
+    for walk in (lambda: bom.material_requirements(graph, "R"), lambda: bom.where_used(graph, "A")):
+        with pytest.raises(ValueError, match="cycle"):
+            walk()
+    for walk in (bom.explode_bom, bom.explode_bom_recursive):
+        with pytest.raises(ValueError, match="max_depth"):
+            walk(graph, "R", max_depth=0)
+
+
+def test_many_roots_in_one_walk(table):
+    graph = edges(table, ("R", "A", 2), ("Q", "A", 3), ("A", "B", 5))
+    stored = bom.stored_edges(graph)
+    roots = bom.root_products(stored)
+    assert {r.root_code for r in roots.collect()} == {"R", "Q"}
+    rows = bom.material_requirements(stored, roots).collect()
+    assert {(r.root_code, r.component_code): r.quantity for r in rows} == {
+        ("R", "A"): 2, ("R", "B"): 10, ("Q", "A"): 3, ("Q", "B"): 15}
+    for root in ("R", "Q"):
+        one = bom.explode_bom(stored, root).select("component_code", "path", "level").collect()
+        every = bom.explode_bom(stored, roots).where(F.col("root_code") == root).select("component_code", "path", "level").collect()
+        assert sorted(one) == sorted(every)
+
+
 def test_endless_products(table):
     graph = edges(
         table, ("TOP", "A", 1), ("A", "B", 1), ("B", "A", 1), ("B", "X", 1), ("P", "Q", 1), ("Q", "X", 1)

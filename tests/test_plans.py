@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quayside.operators import allocation, forecast
+from quayside.operators.skew import HotKeys
 from quayside.plans import reports
 from quayside.sources import erp, fixtures
 
@@ -24,7 +25,8 @@ def stored(spark, tmp_path):
 
     def reader(extracts):
         for extract in extracts.values():
-            columns = ", ".join(f"{column} {kind}" for column, _, kind in extract.columns)
+            kinds = {erp.NUMBER: "decimal(18,5)", erp.MOMENT: "date"}
+            columns = ", ".join(f"{column} {kinds.get(kind, kind)}" for column, _, kind in extract.columns)
             spark.createDataFrame([], columns).write.parquet(f"{tmp_path}/{extract.source}")
         return erp.parquet_reader(spark, str(tmp_path))
 
@@ -53,6 +55,14 @@ def test_rank_and_running_sum_share_one_shuffle_and_window(stored, large_tables)
     assert len(by_item) == 2  # the lines and the stock, each once
 
 
+def test_split_plan_reads_the_lines_twice_at_most(stored, large_tables, table):
+    tables = erp.allocation_tables(stored(erp.ALLOCATION_EXTRACTS))
+    hot = HotKeys(table("item_code string, _parts long", ("X", 3)), 1)
+    text = plan(allocation.running_demand(allocation.open_lines(tables), hot))
+    scans = [row for row in text.splitlines() if "FileScan" in row and "ItemCode#" in row]
+    assert len(scans) == 1  # the other reading made the stored narrow copy
+
+
 def test_filters_and_columns_reach_the_order_scans(stored, large_tables):
     tables = erp.allocation_tables(stored(erp.ALLOCATION_EXTRACTS))
     text = plan(allocation.open_lines(tables).select("line_id", "due_quantity"), "formatted")

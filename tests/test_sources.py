@@ -113,3 +113,17 @@ def test_scratch_folder_is_the_one_the_cluster_names():
     with pytest.raises(ValueError):
         session.scratch_folder(Session("yarn"), "levels")
     assert session.scratch_folder(Session("local[2]"), "levels")
+
+
+def test_reader_keeps_small_quantities_and_times(table):
+    at = dt.datetime(2024, 5, 1, 13, 45)
+    lines = table("OrderID int, LineNumber int, PromisedDeliveryDate timestamp_ntz", (1, 1, at))
+    rows = erp.conform(lines, erp.FORECAST_EXTRACTS["order_lines"])
+    assert rows.first().promised_date == at
+    quantities = table("ForecastItemID int, PeriodID int, Quantity double", (1, 1, 0.000004), (1, 2, 0.0))
+    kept = erp.conform(quantities, erp.FORECAST_EXTRACTS["quantities"]).where("quantity > 0")
+    assert [r.quantity for r in kept.collect()] == [0.000004]
+    exact = table("ForecastItemID int, PeriodID int, Quantity decimal(30,12)", (1, 1, D("0.000000000004")))
+    assert erp.conform(exact, erp.FORECAST_EXTRACTS["quantities"]).first().quantity == D("0.000000000004")
+    text = table("ForecastItemID int, PeriodID int, Quantity string", (1, 1, "2.5"))
+    assert erp.conform(text, erp.FORECAST_EXTRACTS["quantities"]).first().quantity == 2.5
