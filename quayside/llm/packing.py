@@ -16,7 +16,7 @@ from __future__ import annotations
 import os
 import sys
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,8 @@ from quayside.session import scratch_folder
 CAPACITY = 1024
 SLACK = 1 / 64
 GROUP = 64
-CACHED_WORDS = 300_000
+CACHED_WORDS = 700_000
+ENCODED_AT_ONCE = 4096
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -49,6 +50,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words: dict[bytes, bytes | None] = {}
+        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0][0]
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(space)]] = True
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -61,31 +65,44 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes | None]:
+        """Ids of words behind a space; None for those that cannot be encoded on their own.
+
+        Many go in one text: exactly the first token of each begins with a space.
+        """
+        found = {word: None for word in words if not word or word[-1:].isspace() or word[-1] < 32
+                 or word[-1] > 127 and word.decode()[-1].isspace()}
+        words = [word for word in words if word not in found]
+        for i in range(0, len(words), ENCODED_AT_ONCE):
+            part = words[i : i + ENCODED_AT_ONCE]
+            ids = self._encode([" " + b" ".join(part).decode()])[0]
+            first = np.flatnonzero(self.opens[np.frombuffer(ids, "<u4")])
+            if len(first) != len(part):
+                raise ValueError("the tokenizer does not start a token at each space")
+            ends = np.append(first[1:] * 4, len(ids)).tolist()
+            found.update(zip(part, map(ids.__getitem__, map(slice, (first * 4).tolist(), ends))))
+        return found
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [text.split(b" ") for text in texts]
         new = set()
         for parts in split:
             new.update(parts[1:])
         new -= self.words.keys()
-        new = list(new)
-        decoded = [part.decode() for part in new]
-        ids = self._encode([" " + part for part in decoded])
-        found = {part: None if not text or text[-1].isspace() else x for part, text, x in zip(new, decoded, ids)}
+        found = self._encode_words(list(new))
         if len(self.words) + len(found) <= CACHED_WORDS:
             self.words.update(found)
-            known = self.words
+            known = self.words.__getitem__
         else:
-            room = CACHED_WORDS - len(self.words)
-            known = self.words | found
-            self.words.update(list(found.items())[:room])
-        first = self._encode([parts[0].decode() for parts in split])
+            self.words.update(list(found.items())[: CACHED_WORDS - len(self.words)])
+            known = (self.words | found).__getitem__
+        heads = [parts[0].decode() for parts in split]
         out = []
-        for text, parts, start in zip(texts, split, first):
-            head = parts[0].decode()
+        for text, parts, head, start in zip(texts, split, heads, self._encode(heads)):
             try:
                 if len(parts) > 1 and head and head[-1].isspace():
                     raise TypeError
-                out.append(start + b"".join(map(known.__getitem__, parts[1:])))
+                out.append(start + b"".join(map(known, parts[1:])))
             except TypeError:
                 out.append(self._encode([text.decode()])[0])
         return out
@@ -116,7 +133,7 @@ class Bins:
         padded = total if total & (total - 1) == 0 else self.capacity
         rows, offset = [], 0
         for piece in pieces:
-            rows.append((*piece, self.base + self.made, offset, padded))
+            rows.append((*piece[:5], self.base + self.made, offset, padded, *piece[5:]))
             offset += piece[2]
         self.made += 1
         return rows
@@ -147,43 +164,43 @@ class Bins:
         yield from map(self.close, bins)
 
 
-COLUMNS = ["doc_id", "start", "length", "value", "doc_tokens", "sequence_id", "offset", "padded_length"]
+COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length"]
+IDS = pa.list_(pa.int32())
 
 
 def _batch(rows: list[tuple], kinds: list[pa.DataType], tail: bool) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [()] * len(COLUMNS)
-    arrays = [pa.array(column, kind) for column, kind in zip(columns, kinds)]
-    return pa.RecordBatch.from_arrays([*arrays, pa.array([tail] * len(rows), pa.bool_())], [*COLUMNS, "tail"])
-
+    """Rows (columns, then ids as bytes if they are wanted) as a batch."""
+    columns = list(zip(*rows)) if rows else [()] * len(kinds)
+    arrays = [pa.array(c, k) if k is not IDS else _id_lists(c) for c, k in zip(columns, kinds)]
+    names = [*COLUMNS, "ids"][: len(kinds)]
+    return pa.RecordBatch.from_arrays([*arrays, pa.array([tail] * len(rows), pa.bool_())], [*names, "tail"])
 
-def ids_array(ids: bytes) -> list[int]:
-    return np.frombuffer(ids, "<u4").tolist()
 
-
-def ids_crc32(ids: bytes) -> int:
-    return zlib.crc32(ids)
+def _id_lists(column: tuple[bytes, ...]) -> pa.ListArray:
+    offsets = np.cumsum([0, *(len(ids) // 4 for ids in column)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(column), "<i4")))
 
 
 def pack(
     documents: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, slack: float = SLACK,
-    id_column="doc_id", text_column="text", value: Callable = ids_array, value_type="array<int>",
+    id_column="doc_id", text_column="text", with_ids: bool = True,
 ) -> DataFrame:
     """One row per piece: its document, start and length there, ids, and place in a sequence.
 
-    ``value`` makes the column ``value`` from a piece's ids; by default it holds them.
-    ``padded_length`` is what its sequence is padded to: the capacity, or nothing is added where
-    the length is a power of two.
+    ``ids_crc32`` is the checksum of the ids as little-endian 32-bit numbers, ``padded_length`` what
+    the sequence is padded to: the capacity, or its own length where that is a power of two.
     """
     spark = documents.sparkSession
     rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = (f"doc_id {kind}, start bigint, length bigint, value {value_type}, doc_tokens bigint, "
-              "sequence_id bigint, offset bigint, padded_length bigint, tail boolean")
+    schema = (f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
+              f"offset bigint, padded_length bigint{', ids array<int>' if with_ids else ''}, tail boolean")
 
     def types(batch):
-        long = pa.int64()
-        own = pa.list_(pa.int32()) if value_type == "array<int>" else long
-        return [batch.schema.field("doc_id").type, long, long, own, long, long, long, long]
+        return [batch.schema.field("doc_id").type, *[pa.int64()] * 7, *([IDS] if with_ids else [])]
+
+    def left(bins, kinds):
+        return _batch([(*piece[:5], None, None, None, *piece[5:]) for piece in bins.left()], kinds, True)
 
     def first_round(batches):
         encoder = Encoder.of(tokenizer)
@@ -196,26 +213,28 @@ def pack(
                 ids += end
                 total, start = len(ids) // 4, 0
                 for length in piece_lengths(total, capacity, slack):
-                    made = value(ids[4 * start : 4 * (start + length)])
-                    out += bins.add((doc, start, length, made, total))
+                    own = ids[4 * start : 4 * (start + length)]
+                    out += bins.add((doc, start, length, zlib.crc32(own), total, *([own] if with_ids else [])))
                     start += length
             yield _batch(out, kinds, False)
         if kinds:
-            yield _batch([(*piece, None, None, None) for piece in bins.left()], kinds, True)
+            yield left(bins, kinds)
 
     def next_round(number: int, last: bool):
         def run(batches):
-            base = number << 60 | TaskContext.get().partitionId() << 40
-            bins, kinds = Bins(capacity, base), None
+            bins, kinds = Bins(capacity, number << 60 | TaskContext.get().partitionId() << 40), None
             for batch in batches:
                 kinds, out = types(batch), []
-                for row in zip(*(batch.column(c).to_pylist() for c in COLUMNS[:5])):
-                    out += bins.add(row)
+                columns = [batch.column(c).to_pylist() for c in COLUMNS[:5]]
+                if with_ids:
+                    columns.append([np.array(ids, "<i4").tobytes() for ids in batch.column("ids").to_pylist()])
+                for piece in zip(*columns):
+                    out += bins.add(piece)
                 yield _batch(out, kinds, False)
             if kinds and last:
                 yield _batch([row for rows in bins.first_fit() for row in rows], kinds, False)
             elif kinds:
-                yield _batch([(*piece, None, None, None) for piece in bins.left()], kinds, True)
+                yield left(bins, kinds)
 
         return run
 
@@ -227,7 +246,7 @@ def pack(
         done = spark.read.schema(schema).parquet(f"{folder}/round={number}")
         full = done.where(~F.col("tail")) if number == 0 else full.unionByName(done.where(~F.col("tail")))
         if number and workers == 1:
-            return full.select(*COLUMNS)
+            return full.drop("tail")
         workers, number = -(-workers // GROUP), number + 1
         tails = done.where("tail").drop("tail").coalesce(workers)
         step = tails.mapInArrow(next_round(number, workers == 1), schema)
@@ -237,6 +256,4 @@ def op6_packing(spark, folder: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens."""
     import public_tokenizers
 
-    documents = table(spark, folder, "documents")
-    packed = pack(documents, public_tokenizers.path(TOKENIZER), value=ids_crc32, value_type="bigint")
-    return packed.withColumnRenamed("value", "ids_crc32")
+    return pack(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), with_ids=False)
