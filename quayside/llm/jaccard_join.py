@@ -10,13 +10,16 @@ share one.
 
 Signatures of no elements say nothing, so they are left out: a set is safe under a seed if it has
 enough groups without an empty subset, and signs under further seeds until it is. Two linked sets
-then both sign under the first seed where one of them is safe, and share a signature there. The
-join is exact, up to collisions of 64-bit hashes.
+then both sign under the first seed where one of them is safe, and share a signature there. Under
+the first seeds frequent shingles are left out of the sets, which keeps linked sets as near to each
+other as they were; so a passage that many documents share does not bring them together. Which
+shingles count as frequent changes the work, never the result. The join is exact, up to collisions
+of 64-bit hashes.
 
 Signatures meet in a shuffle; all sets of one signature are compared with the smallest of them,
-which needs as many comparisons as rows. Sets that differ from it while some pair of the signature
-is still in different components are compared with each other, after a filter by counts that
-drops no link. Every comparison is of whole texts.
+which needs as many comparisons as rows. Where sets of one signature are then still in different
+components, their other pairs go through a filter by counts that drops no link, in blocks. Every
+link is a comparison of whole texts.
 
 Defined results: NULL texts and texts without words have no shingles and are linked with nothing;
 fewer words than a shingle are one shingle; repeated rows are of one component; an empty table
@@ -44,6 +47,10 @@ SMALL = 256
 HOT_IN_BLOCK = 8
 BINS = 64
 SENT_IDS = 1 << 20
+FREQUENT_SEEDS = 2  # seeds under which frequent shingles are left out
+FREQUENT_SHARE, FREQUENT_IN_STRETCH, FREQUENT_MOST = 1 / 4096, 4, 1 << 16
+STRETCH_SHINGLES = 4_000_000
+LARGE_BUCKET, BLOCK_SETS, SEEN_PAIRS = 64, 512, 1_000_000
 
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -129,19 +136,28 @@ class Bands:
         return [own, own + 1] if largest > self.ends[own] else [own]
 
 
-def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures, and the number of the set each is of."""
+def _without(one: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    if not len(frequent) or not len(one):
+        return one
+    at = np.minimum(np.searchsorted(frequent, one), len(frequent) - 1)
+    return one[frequent[at] != one]
+
+
+def signatures(sets: list[np.ndarray], bands: Bands, frequent=np.zeros(0, np.uint64)) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures, and the number of the set each is of; ``frequent`` in order."""
     signs: dict[int, list[int]] = {}
     for number, one in enumerate(sets):
         for band in bands.of(len(one)) if len(one) else ():
             signs.setdefault(band, []).append(number)
+    rare = [_without(one, frequent) for one in sets] if len(frequent) else sets
     out, owners = [], []
     for band, members in signs.items():
-        scheme, seed = bands.instances[band], 0
+        scheme, seed = bands.instances[band], 0 if len(frequent) else FREQUENT_SEEDS
         while members:
+            used = rare if seed < FREQUENT_SEEDS else sets
             salt = mixed(np.array([band * 1009 + seed + 1], np.uint64))
-            flat = mixed(np.concatenate([sets[m] for m in members]) ^ salt)
-            sizes = np.array([len(sets[m]) for m in members])
+            flat = mixed(np.concatenate([used[m] for m in members]) ^ salt)
+            sizes = np.array([len(used[m]) for m in members])
             row = np.repeat(np.arange(len(members)), sizes)
             parts = scheme.groups * scheme.n2
             at = row * parts + (flat % np.uint64(parts)).astype(np.int64)
@@ -165,6 +181,37 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
     return np.concatenate(out), np.concatenate(owners)
 
 
+def frequent_shingles(documents: DataFrame) -> np.ndarray:
+    """Shingles of a noticeable share of all documents, the most frequent ones if they are many.
+
+    A task counts stretch by stretch and reports what several documents of a stretch have; the
+    reports are added up.
+    """
+
+    def run(batches):
+        held, count = [], 0
+
+        def out():
+            shingles, found = np.unique(np.concatenate(held), return_counts=True)
+            use = found >= FREQUENT_IN_STRETCH
+            return pa.RecordBatch.from_arrays([pa.array(shingles[use].view(np.int64)), pa.array(found[use])], ["shingle", "n"])
+
+        for block in blocks(batches, "text"):
+            unique = {t: None for t in texts_of(block.column("text")) if t}
+            held += shingle_sets([words_of(t) for t in unique])
+            count = sum(map(len, held)) if held else 0
+            if count > STRETCH_SHINGLES:
+                yield out()
+                held = []
+        if held:
+            yield out()
+
+    least = documents.count() * FREQUENT_SHARE
+    found = documents.mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = found.where(F.col("n") >= least).orderBy(F.desc("n"), "shingle").limit(FREQUENT_MOST).toArrow()
+    return np.sort(top["shingle"].to_numpy().view(np.uint64))
+
+
 def block_rows(signs: np.ndarray, ids: np.ndarray):
     """Rows (key, id, main) of a block.
 
@@ -263,11 +310,13 @@ def set_rows(documents: DataFrame, seed: int) -> DataFrame:
 
 
 def signature_rows(documents: DataFrame, seed: int, percent: int) -> DataFrame:
+    sent = documents.sparkSession.sparkContext.broadcast(frequent_shingles(documents))
+
     def run(batches):
         bands = Bands(percent)
         for block in blocks(batches, "text"):
             unique = {set_id(w, seed): w for w in map(words_of, texts_of(block.column("text"))) if w}
-            signs, owners = signatures(shingle_sets(list(unique.values())), bands)
+            signs, owners = signatures(shingle_sets(list(unique.values())), bands, sent.value)
             if len(signs):
                 key, ids, main = block_rows(signs, np.array(list(unique), np.int64)[owners])
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(main)], ["key", "id", "main"])
@@ -342,6 +391,101 @@ def _with_component(rows: DataFrame, components: DataFrame, column: str, name: s
     return rows.join(own, column, "left").withColumn(name, F.coalesce(name, column))
 
 
+def _near(left, right, percent: int) -> np.ndarray:
+    """Pairs (rows of left, rows of right) of different components that the counts do not rule out.
+
+    Both sides are (ids, components, sizes, counts by bin).
+    """
+    found = []
+    for i in range(0, len(left[0]), 32):
+        part = slice(i, i + 32)
+        most = (left[2][part, None] + right[2]) * (100 - percent)
+        rows, columns = np.nonzero((left[1][part, None] != right[1]) & (
+            np.minimum(left[2][part, None], right[2]) * 100 >= np.maximum(left[2][part, None], right[2]) * percent))
+        apart = np.abs(left[3][part][rows] - right[3][columns]).sum(axis=1)
+        use = apart * (100 + percent) <= most[rows, columns]
+        found.append(np.stack((rows[use] + i, columns[use]), axis=1))
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
+def _sides(table) -> tuple:
+    counts = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(-1, BINS).astype(np.int32)
+    return (*(table.column(c).to_numpy() for c in ("id", "c", "n")), counts)
+
+
+def _pairs_table(left, right, found):
+    a, b = left[0][found[:, 0]], right[0][found[:, 1]]
+    return np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
+
+
+def _other_pairs(members: DataFrame, components: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Possible pairs (center, id) of sets that share a signature, but not a component.
+
+    The sets of small buckets are compared bucket by bucket. Large buckets overlap, as those of many
+    near copies do: sets they connect are compared once, in blocks of about ``BLOCK_SETS`` by as many,
+    each block pair by itself. Only pairs that the counts do not rule out come back.
+    """
+    sizes = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least")), "bucket-sizes")
+    large = sizes.where(F.col("size") > LARGE_BUCKET)
+    sides = _with_component(classes.select("id", "n", "sketch"), components, "id", "c")
+    sides = stored(sides.join(members.select("id").distinct(), "id", "left_semi"), "sides")
+
+    hubs = members.join(large, "bucket").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    hubs = stored(connected_components(hubs).toDF("id", "hub"), "hubs")
+    blocks_of = stored(hubs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("parts")), "hub-sizes")
+    dealt = hubs.join(blocks_of, "hub").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.join(sides, "id")
+    first = dealt.select("*", F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"))
+    second = dealt.where("part > 0").select(
+        "*", F.explode(F.sequence(F.lit(0), F.col("part") - 1)).alias("i"), F.col("part").alias("j"))
+    copies = first.unionByName(second)
+
+    def block(key, table):
+        own, other = key[1].as_py(), key[2].as_py()
+        part = table.column("part").to_numpy()
+        left = _sides(table.filter(pa.array(part == own)))
+        right = left if own == other else _sides(table.filter(pa.array(part == other)))
+        found = _pairs_table(left, right, _near(left, right, percent))
+        return pa.table({"center": pa.array(found[:, 0], pa.int64()), "id": pa.array(found[:, 1], pa.int64())})
+
+    between = copies.select("hub", "i", "j", "part", "id", "c", "n", "sketch").groupBy("hub", "i", "j").applyInArrow(
+        block, "center bigint, id bigint")
+
+    def buckets(batches):
+        seen: set = set()
+
+        def pairs(table):
+            side = _sides(table)
+            hub = np.array([h or f"none {i}" for i, h in enumerate(table.column("hub").to_pylist())])
+            found = _near(side, side, percent)
+            same = hub[found[:, 0]] == hub[found[:, 1]]
+            new = set(map(tuple, _pairs_table(side, side, found[~same]).tolist())) - seen
+            seen.update(new)
+            return new
+
+        held, out = None, []
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            bucket = table.column("bucket").to_numpy()
+            ends = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+            for start, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
+                out += pairs(table.slice(start, end - start))
+            held = table.slice(int(ends[-1]) if len(ends) else 0)
+            if len(seen) > SEEN_PAIRS:
+                seen.clear()
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["center", "id"])
+                out = []
+        if held is not None and (out := list(pairs(held))):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["center", "id"])
+
+    small = members.join(sizes.where(F.col("size") <= LARGE_BUCKET).select("bucket"), "bucket", "left_semi")
+    small = small.join(sides.join(hubs, "id", "left").withColumn("hub", F.col("hub").cast("string")), "id")
+    within = small.select("bucket", "id", "c", "n", "sketch", "hub").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        buckets, "center bigint, id bigint")
+    return between.unionByName(within).distinct()
+
+
 def linked_sets(documents: DataFrame, seed: int, classes: DataFrame, percent: int) -> DataFrame:
     """node and component of every set id that has a link."""
     rows = signature_rows(documents, seed, percent)
@@ -369,13 +513,8 @@ def linked_sets(documents: DataFrame, seed: int, classes: DataFrame, percent: in
     if not open_.isEmpty():
         inside = stars.join(open_, "bucket", "left_semi")
         members = inside.select("bucket", "id").union(inside.select("bucket", F.col("center"))).distinct()
-        members = stored(_with_component(members, components, "id", "c").join(classes.select("id", "n"), "id"), "members")
-        left = members.select("bucket", F.col("id").alias("center"), F.col("c").alias("c_a"), F.col("n").alias("n_a"))
-        right = members.select("bucket", "id", "c", "n")
-        cross = left.join(right, "bucket").where(
-            (F.col("c_a") < F.col("c")) & (F.least("n_a", "n") * 100 >= F.greatest("n_a", "n") * percent)
-        ).select("center", "id").distinct()
-        rest = stored(_possible(cross, classes, percent).join(pairs, ["center", "id"], "left_anti"), "rest")
+        rest = _other_pairs(stored(members, "members"), components, classes, percent)
+        rest = stored(rest.join(pairs, ["center", "id"], "left_anti"), "rest")
         if not rest.isEmpty():
             links = links.unionByName(_verified(documents, rest, seed, percent))
             components = connected_components(links)
