@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from quayside.llm.chat_format import OP4_SQL, op4_chat_format
 from quayside.llm.class_lm import op3_class_lm
-from quayside.llm.decontamination import op9_decontamination
+from quayside.llm.decontamination import OP9_SQL, op9_decontamination
 from quayside.llm.exact_dedup import OP7_SQL, op7_exact_dedup
-from quayside.llm.jaccard_join import op2_jaccard_join
+from quayside.llm.jaccard_join import OP2_SQL, op2_jaccard_join
 from quayside.llm.language_id import op5_language_id
 from quayside.llm.packing import op6_packing
 from quayside.llm.sharding import op8_sharding
@@ -25,4 +25,10 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
 }
-SQL = {"op4_chat_format": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op10_url_filters": OP10_SQL}
+SQL = {
+    "op2_jaccard_join": OP2_SQL,
+    "op4_chat_format": OP4_SQL,
+    "op7_exact_dedup": OP7_SQL,
+    "op9_decontamination": OP9_SQL,
+    "op10_url_filters": OP10_SQL,
+}

@@ -9,20 +9,17 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.session import scratch_folder
+from quayside.session import stored
+
+__all__ = [
+    "BLOCK_BYTES", "LOWER", "blocks", "free_name", "id_remainder", "stored", "table", "texts_of", "without_rows",
+]
 
 BLOCK_BYTES = 4 << 20
 SENT_ROWS = 1 << 18
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def stored(rows: DataFrame, purpose: str) -> DataFrame:
-    """Rows written to the shared folder and read back: cuts lineage, survives lost executors."""
-    path = scratch_folder(rows.sparkSession, purpose)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

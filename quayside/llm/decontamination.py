@@ -246,3 +246,32 @@ def op9_decontamination(spark, folder: str) -> DataFrame:
     return marked.mapInArrow(
         run, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
     )
+
+
+OP9_SQL = r"""
+WITH texts AS (
+    SELECT doc_id, regexp_extract_all(lowered, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered
+          FROM documents)
+), items AS (
+    SELECT item_id, regexp_extract_all(lowered, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM (SELECT item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered FROM benchmark)
+), windows AS (
+    SELECT DISTINCT item_id, words[i : i + least(len(words), 10) - 1] AS run
+    FROM items, LATERAL (SELECT unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i) WHERE len(words) > 0
+), sizes AS (SELECT DISTINCT len(run) AS n FROM windows),
+runs AS (
+    SELECT doc_id, i, n, words[i : i + n - 1] AS run
+    FROM texts, sizes, LATERAL (SELECT unnest(range(1, len(words) - n + 2)) AS i)
+), hits AS (SELECT doc_id, item_id, i, n FROM runs JOIN windows USING (run)),
+covered AS (
+    SELECT doc_id, count(DISTINCT place) AS n_hit
+    FROM hits, LATERAL (SELECT unnest(range(i, i + n)) AS place) GROUP BY doc_id
+), named AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM texts LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""

@@ -580,3 +580,27 @@ def without_near_copies(documents: DataFrame, id_column="doc_id", text_column="t
 def op2_jaccard_join(spark, folder: str) -> DataFrame:
     """Shingle count and component of every document."""
     return jaccard_components(table(spark, folder, "documents")).drop("stays")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, regexp_extract_all(lowered, '[^\x20\x09-\x0D]+') AS words
+    FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered
+          FROM documents)
+), shingles AS (
+    SELECT DISTINCT doc_id, words[i : i + 4] AS shingle
+    FROM texts, LATERAL (SELECT unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i) WHERE len(words) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+    FROM shingles a JOIN shingles b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * common.n >= 80 * (x.n + y.n - common.n)
+), reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM texts
+    UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT a AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(b) AS component_id
+FROM reach LEFT JOIN sizes ON sizes.doc_id = a GROUP BY a
+"""
