@@ -30,7 +30,6 @@ def corpus():
 
 
 @pytest.mark.parametrize("settings", [
-    {},
     {"LARGE_BUCKET": 8, "BLOCK_SETS": 16, "HOT_IN_BLOCK": 3, "SENT_IDS": 0},
     {"FREQUENT_SHARE": 0.0, "FREQUENT_MOST": 10, "LARGE_BUCKET": 1000},
 ])
