@@ -386,7 +386,7 @@ def _verified(documents: DataFrame, pairs: DataFrame, seed: int, percent: int) -
     return stored(rows.select("center", "id", "middle", "member").mapInArrow(run, "a bigint, b bigint"), "verified")
 
 
-def _with_component(rows: DataFrame, components: DataFrame, column: str, name: str) -> DataFrame:
+def with_component(rows: DataFrame, components: DataFrame, column: str, name: str) -> DataFrame:
     own = components.select(F.col("node").alias(column), F.col("component").alias(name))
     return rows.join(own, column, "left").withColumn(name, F.coalesce(name, column))
 
@@ -427,7 +427,7 @@ def _other_pairs(members: DataFrame, components: DataFrame, classes: DataFrame,
     """
     sizes = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least")), "bucket-sizes")
     large = sizes.where(F.col("size") > LARGE_BUCKET)
-    sides = _with_component(classes.select("id", "n", "sketch"), components, "id", "c")
+    sides = with_component(classes.select("id", "n", "sketch"), components, "id", "c")
     sides = stored(sides.join(members.select("id").distinct(), "id", "left_semi"), "sides")
 
     hubs = members.join(large, "bucket").select(F.col("least").alias("a"), F.col("id").alias("b"))
@@ -496,7 +496,7 @@ def linked_sets(documents: DataFrame, seed: int, classes: DataFrame, percent: in
     pairs = stored(_possible(stars.select("center", "id").distinct(), classes, percent), "possible")
 
     def apart(rows, components):
-        rows = _with_component(_with_component(rows, components, "center", "c_a"), components, "id", "c_b")
+        rows = with_component(with_component(rows, components, "center", "c_a"), components, "id", "c_b")
         return rows.where("c_a <> c_b")
 
     # One comparison for each set, then those that are still needed.
@@ -534,7 +534,7 @@ def _jaccard_components(documents: DataFrame, id_column: str, text_column: str,
             break
         seed += 1  # two word sequences with one number: number them anew
     components = linked_sets(rows, seed, classes, percent)
-    merged = stored(_with_component(classes.select("id", "first_doc", "rows"), components, "id", "component"), "merged")
+    merged = stored(with_component(classes.select("id", "first_doc", "rows"), components, "id", "component"), "merged")
     stays = F.min(F.struct(F.col("first_doc").isNull(), "first_doc", "id"))
     least = stored(merged.groupBy("component").agg(stays.alias("stays"), F.sum("rows").alias("rows")).where(
         "rows > 1").select("component", F.col("stays.first_doc").alias("component_id"), F.col("stays.id").alias("stays")
