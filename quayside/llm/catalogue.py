@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quayside.llm.chat_format import OP4_SQL, op4_chat_format
 from quayside.llm.class_lm import op3_class_lm
+from quayside.llm.collocations import OP13_SQL, op13_phrase_collocations
 from quayside.llm.decontamination import OP9_SQL, op9_decontamination
 from quayside.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from quayside.llm.jaccard_join import OP2_SQL, op2_jaccard_join
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 SQL = {
     "op2_jaccard_join": OP2_SQL,
@@ -31,4 +33,5 @@ SQL = {
     "op7_exact_dedup": OP7_SQL,
     "op9_decontamination": OP9_SQL,
     "op10_url_filters": OP10_SQL,
+    "op13_phrase_collocations": OP13_SQL,
 }
