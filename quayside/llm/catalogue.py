@@ -12,6 +12,7 @@ from quayside.llm.language_id import op5_language_id
 from quayside.llm.packing import op6_packing
 from quayside.llm.sharding import op8_sharding
 from quayside.llm.substring_dedup import op1_substring_dedup
+from quayside.llm.token_counts import op12_token_counts
 from quayside.llm.url_filters import OP10_SQL, op10_url_filters
 
 QUERIES = {
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
+    "op12_token_counts": op12_token_counts,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
 SQL = {
