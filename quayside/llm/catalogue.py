@@ -14,6 +14,7 @@ from quayside.llm.sharding import op8_sharding
 from quayside.llm.substring_dedup import op1_substring_dedup
 from quayside.llm.token_counts import op12_token_counts
 from quayside.llm.url_filters import OP10_SQL, op10_url_filters
+from quayside.llm.whitening import op11_embedding_whitening
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op12_token_counts": op12_token_counts,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
