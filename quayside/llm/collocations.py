@@ -8,8 +8,8 @@ that end in it.
 
 Windows are counted in two shuffles. Tasks add up equal windows, then the hash of the whole window
 chooses the cell that adds up the tasks' counts; each cell sums its windows by their beginnings,
-and the hash of the beginning chooses the cell for these. A key reaches a cell once per task, however
-often it occurs, so a frequent phrase loads no task more than others do. Cells hold what about
+and the hash of the beginning chooses the cell for these. A key reaches a cell once per flush of a task,
+however often it occurs, so a frequent phrase loads no task more than others do. Cells hold what at most
 ``CELL_BYTES`` of text give, so their number follows the input and their size does not.
 
 Edges between which all flow stays together (the node has no other edge, start or end) form unary
@@ -18,17 +18,18 @@ are told from it as a whole.
 
 Defined results: a NULL text counts as empty and gives nothing; a NULL language is ``und``; texts of
 a repeated row count each time; an empty table gives no rows; other columns are ignored. A text and
-the windows of one flush are held in memory at a time.
+the windows of ``HELD_BYTES`` of text (of a longer piece, all of it) are held in memory at a time.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,79 +42,143 @@ TOP = 2000
 UNKNOWN = "und"
 SCALE = 2_000_000
 
-CELL_BYTES = 1 << 20
-CELLS_A_TASK = 16
-HELD = 400_000  # phrases a task holds before it hands them on
+CELL_BYTES = 4 << 20
+CELLS = 256  # at least
+CELLS_A_TASK = 8
+HELD_BYTES = 6 << 20  # of text whose windows are added up at a time
+HELD = 600_000  # phrases of cells that are added up at a time
 SALTS = 64
 
-#: A-Z in lower case, and every character that ends a piece as a line feed.
-PLAIN = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\x0b\x0c\r", bytes(range(97, 123)) + b"\n" * 9)
+#: A byte that no text holds ends a piece.
+END = b"\xff"
+#: A-Z in lower case, a tab as a space, and every character that ends a piece as that byte.
+PLAIN = bytes.maketrans(bytes(range(65, 91)) + b"\t" + b".,;:!?\n\x0b\x0c\r", bytes(range(97, 123)) + b" " + END * 10)
 
+LARGE = pa.large_binary()
 COUNTED = "cell int, lang string, phrases binary, counts binary"
-Held = dict[str, dict[bytes, int]]
+Numbers = list[np.ndarray]  # of words, a column by place; -1 where a phrase is shorter
 
 
-def _handed_on(held: Held, cells: int) -> Iterator[pa.RecordBatch]:
-    """Counted phrases as one row per language and cell, packed."""
+def _added(columns: Numbers, counts: np.ndarray) -> tuple[Numbers, np.ndarray]:
+    """Different rows of numbers, and their summed counts."""
+    names = [f"w{i}" for i in range(len(columns))]
+    rows = pa.table([*columns, counts], [*names, "count"]).group_by(names, use_threads=False).aggregate([("count", "sum")])
+    return [rows[name].to_numpy() for name in names], rows["count_sum"].to_numpy()
+
+
+def _phrases(words: pa.Array, columns: Numbers) -> pa.Array:
+    """The words of each row, joined."""
+    parts = [words.take(pa.array(column, mask=column < 0)) for column in columns]
+    return pc.binary_join_element_wise(*parts, pa.scalar(b" ", LARGE), null_handling="skip")
+
+
+def _handed_on(lang: str, words: pa.Array, columns: Numbers, counts: np.ndarray, cells: int) -> pa.RecordBatch:
+    """Counted phrases as one row per cell, packed; the words' hashes choose the cell."""
     import zstandard
 
-    packer = zstandard.ZstdCompressor(level=1)
-    for lang, counts in held.items():
-        parts = defaultdict(list)
-        for phrase in counts:
-            parts[zlib.crc32(phrase) % cells].append(phrase)
-        numbers = [np.fromiter(map(counts.__getitem__, part), np.int64, len(part)) for part in parts.values()]
-        yield pa.RecordBatch.from_arrays([
-            pa.array(parts.keys(), pa.int32()),
-            pa.array([lang] * len(parts), pa.string()),
-            pa.array([packer.compress(b"\n".join(part)) for part in parts.values()], pa.binary()),
-            pa.array([packer.compress(n.tobytes()) for n in numbers], pa.binary()),
-        ], ["cell", "lang", "phrases", "counts"])
-
-
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[Held]:
-    """Summed counts of one cell after the other; rows come in the order of cells."""
+    hashes = np.array([zlib.crc32(word) + 1 for word in words.to_pylist()] + [0], np.uint64)
+    mixed = np.zeros(len(counts), np.uint64)
+    for column in columns:
+        mixed = (mixed + hashes[column]) * np.uint64(0x9E3779B97F4A7C15)
+    cell = (mixed >> np.uint64(24)) % np.uint64(cells)
+    order = np.argsort(cell, kind="stable")
+    cell, counts = cell[order], counts[order]
+    lines = pc.binary_join_element_wise(
+        _phrases(words, [column[order] for column in columns]), pa.scalar(b"", LARGE), pa.scalar(b"\n", LARGE))
+    ends = np.frombuffer(lines.buffers()[1], np.int64)[: len(lines) + 1]
+    data, pack = memoryview(lines.buffers()[2] or b""), zstandard.ZstdCompressor(level=1).compress
+    starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, int)
+    spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(cell)]))
+    return pa.RecordBatch.from_arrays([
+        pa.array(cell[starts].astype(np.int32)),
+        pa.array([lang] * len(starts), pa.string()),
+        pa.array([pack(data[ends[i] : ends[j] - 1]) for i, j in spans], pa.binary()),
+        pa.array([pack(counts[i:j].tobytes()) for i, j in spans], pa.binary()),
+    ], ["cell", "lang", "phrases", "counts"])
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, tuple[bytes, np.ndarray]]]:
+    """Lines of phrases and their counts by language, of some whole cells; rows come in their order."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
-    current, held = None, {}
+    current, held, size = None, defaultdict(lambda: ([], [])), 0
+
+    def joined():
+        return {lang: (b"\n".join(lines), np.concatenate(counts)) for lang, (lines, counts) in held.items()}
+
     for batch in batches:
         for row in range(batch.num_rows):
             cell, lang, phrases, counts = (column[row].as_py() for column in batch.columns)
-            if cell != current:
-                if held:
-                    yield held
-                current, held = cell, {}
-            sums = held.setdefault(lang, {})
-            numbers = np.frombuffer(unpack(counts), np.int64).tolist()
-            for phrase, count in zip(unpack(phrases).split(b"\n"), numbers):
-                sums[phrase] = sums.get(phrase, 0) + count
+            if cell != current and size > HELD:
+                yield joined()
+                held.clear()
+                size = 0
+            current = cell
+            held[lang][0].append(unpack(phrases))
+            held[lang][1].append(np.frombuffer(unpack(counts), np.int64))
+            size += len(held[lang][1][-1])
     if held:
-        yield held
+        yield joined()
+
+
+def _split(text: bytes, by: str) -> pa.Array:
+    return pc.split_pattern(pa.array([text], LARGE), by).flatten()
+
+
+def _coded(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Different words, and the number of each word among them."""
+    coded = words.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy()
+
+
+def _windows_of(text: bytes, longest: int) -> tuple[pa.Array, Numbers]:
+    """Words, and the numbers of up to ``longest`` of them from each word on, to the next end of a piece."""
+    words = _split(text.replace(END, b" " + END + b" "), " ")
+    words, numbers = _coded(words.filter(pc.greater(pc.binary_length(words), 0)))
+    at = pc.index(words, pa.scalar(END, LARGE)).as_py()
+    padded = np.append(numbers, np.full(longest, at, np.int32))
+    left = np.ones(len(numbers), bool)
+    columns = []
+    for place in range(longest):
+        column = padded[place : place + len(numbers)]
+        left = left & (column != at)
+        columns.append(np.where(left, column, np.int32(-1)))
+    begins = columns[0] >= 0
+    return words, [column[begins] for column in columns]
+
+
+def _lines_of(lines: bytes, longest: int) -> tuple[pa.Array, Numbers]:
+    """Words, and their numbers in lines of up to ``longest`` words."""
+    parts = pc.split_pattern(_split(lines, "\n"), " ")
+    words, numbers = _coded(parts.flatten())
+    sizes, starts = pc.list_value_length(parts).to_numpy(), parts.offsets.to_numpy()[:-1]
+    padded = np.append(numbers, np.full(longest, -1, np.int32))
+    return words, [np.where(sizes > place, padded[starts + place], np.int32(-1)) for place in range(longest)]
 
 
 def _windows(rows: DataFrame, cells: int, longest: int) -> DataFrame:
     """Windows of all pieces, added up within tasks."""
 
+    def counted(held):
+        for lang, texts in held.items():
+            words, columns = _windows_of(END.join(texts) + END, longest)
+            yield _handed_on(lang, words, *_added(columns, np.ones(len(columns[0]), np.int64)), cells)
+
     def run(batches):
-        held = defaultdict(Counter)
+        held, size = defaultdict(list), 0
         for block in blocks(batches, "text"):
             for lang, text in zip(block.column("lang").to_pylist(), texts_of(block.column("text"))):
-                counts = held[lang]
-                for piece in (text or b"").translate(PLAIN).split(b"\n"):
-                    words = piece.split()
-                    if len(words) >= longest:
-                        counts.update(map(b" ".join, zip(*(words[i:] for i in range(longest)))))
-                    for size in range(1, min(longest - 1, len(words)) + 1):
-                        counts[b" ".join(words[-size:])] += 1
-                    if len(counts) > HELD:
-                        yield from _handed_on(held, cells)
-                        held = defaultdict(Counter)
-                        counts = held[lang]
-            if sum(map(len, held.values())) > HELD:
-                yield from _handed_on(held, cells)
-                held = defaultdict(Counter)
-        yield from _handed_on(held, cells)
+                text, start = (text or b"").translate(PLAIN), 0
+                while start < len(text):  # parts end where pieces do
+                    end = text.find(END, start + HELD_BYTES)
+                    end = len(text) if end < 0 else end
+                    held[lang].append(text[start:end])
+                    size, start = size + end - start, end + 1
+                    if size > HELD_BYTES:
+                        yield from counted(held)
+                        held, size = defaultdict(list), 0
+        yield from counted(held)
 
     return rows.mapInArrow(run, COUNTED)
 
@@ -122,24 +187,19 @@ def _flows(rows: DataFrame, cells: int, longest: int, least: int) -> DataFrame:
     """Per phrase shorter than an edge, the windows of a cell that begin with it; frequent edges too."""
 
     def run(batches):
-        held: Held = defaultdict(dict)
         for cell in _cells(batches):
-            for lang, counts in cell.items():
-                sums = held[lang]
-                for window, count in counts.items():
-                    words = window.split(b" ")
-                    if len(words) < longest or count >= least:
-                        sums[window] = sums.get(window, 0) + count
-                    beginning = words[0]
-                    if len(words) > 1:
-                        sums[beginning] = sums.get(beginning, 0) + count
-                    for word in words[1:-1]:
-                        beginning += b" " + word
-                        sums[beginning] = sums.get(beginning, 0) + count
-            if sum(map(len, held.values())) > HELD:
-                yield from _handed_on(held, cells)
-                held = defaultdict(dict)
-        yield from _handed_on(held, cells)
+            for lang, (lines, counts) in cell.items():
+                words, columns = _lines_of(lines, longest)
+                columns, counts = _added(columns, counts)
+                frequent = (columns[-1] >= 0) & (counts >= least)
+                found = [([column[frequent] for column in columns], counts[frequent])]
+                for size in range(longest - 1, 0, -1):
+                    whole = columns[size - 1] >= 0
+                    found.append(_added([column[whole] for column in columns[:size]], counts[whole]))
+                none = [np.full(len(counts), -1, np.int32) for _, counts in found]
+                merged = [np.concatenate([f[place] if place < len(f) else pad for (f, _), pad in zip(found, none)])
+                          for place in range(longest)]
+                yield _handed_on(lang, words, merged, np.concatenate([counts for _, counts in found]), cells)
 
     return rows.mapInArrow(run, COUNTED)
 
@@ -149,13 +209,16 @@ def _frequent(rows: DataFrame, least: int) -> DataFrame:
 
     def run(batches):
         for cell in _cells(batches):
-            for lang, sums in cell.items():
-                found = [(p.count(b" ") + 1, p, f) for p, f in sums.items() if f >= least]
-                found.append((0, b"", sum(f for p, f in sums.items() if b" " not in p)))
-                size, phrase, f = zip(*found)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(f), pa.string()), pa.array(size, pa.int32()),
-                     pa.array(phrase, pa.binary()), pa.array(f, pa.int64())], ["lang", "size", "phrase", "f"])
+            for lang, (lines, counts) in cell.items():
+                added = pa.table([_split(lines, "\n"), counts], ["phrase", "f"]).group_by("phrase", use_threads=False).aggregate([("f", "sum")])
+                phrases, f = added["phrase"].combine_chunks(), added["f_sum"].to_numpy()
+                size = pc.count_substring(phrases, b" ").to_numpy() + 1
+                kept = np.flatnonzero(f >= least)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([lang] * (len(kept) + 1), pa.string()),
+                    pa.array(np.append(size[kept], 0), pa.int32()),
+                    pa.concat_arrays([phrases.take(pa.array(kept)).cast(pa.binary()), pa.array([b""], pa.binary())]),
+                    pa.array(np.append(f[kept], f[size == 1].sum()), pa.int64())], ["lang", "size", "phrase", "f"])
 
     return rows.mapInArrow(run, "lang string, size int, phrase binary, f bigint").withColumn(
         "phrase", F.col("phrase").cast("string"))
@@ -172,8 +235,8 @@ def phrase_counts(
     rows = documents.select(
         F.coalesce(F.col(lang_column).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_column).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    cells = 1 + size // CELL_BYTES
-    tasks = 1 + cells // CELLS_A_TASK
+    cells = max(CELLS, 1 + size // CELL_BYTES)
+    tasks = cells // CELLS_A_TASK
 
     def gathered(counted):
         return counted.repartition(tasks, "cell").sortWithinPartitions("cell")

@@ -73,6 +73,7 @@ def test_all_phrases(spark, rows, monkeypatch):
     expected = sorted(best(counted(rows), 5))
     assert plain(collocations.mined(documents, least=5)) == expected
     monkeypatch.setattr(collocations, "HELD", 20)  # many flushes, few cells
+    monkeypatch.setattr(collocations, "HELD_BYTES", 100)
     monkeypatch.setattr(collocations, "CELLS", 16)
     assert plain(collocations.mined(documents, least=5)) == expected
     assert plain(collocations.mined(documents, least=5, top=3)) == [r for r in expected if r[1] <= 3]
