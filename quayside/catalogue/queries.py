@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quayside.operators import allocation, bom, forecast, quality
+from quayside.operators import allocation, bom, changes, forecast, hierarchy, planning, quality
 from quayside.operators.skew import hot_keys
 from quayside.plans import reports
-from quayside.sources import fixtures
+from quayside.session import scratch_folder, stored
+from quayside.sources import fixtures, layout
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +39,18 @@ def _comparable(rows: DataFrame, *money: str, digits: int = 4) -> DataFrame:
     return rows.select(*columns)
 
 
+def _numbered(rows: DataFrame, *keys: str) -> DataFrame:
+    """Position of each row as the report has it, with its sort keys; partitions are in order, and so are their rows."""
+    placed = rows.select(*[F.col(f"`{key}`") for key in keys]).withColumn("_id", F.monotonically_increasing_id())
+    part, place = F.shiftrightunsigned("_id", 33), F.col("_id").bitwiseAND(2**33 - 1)
+    placed = stored(placed.withColumns({"_part": part, "_place": place}), "ordered")
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    return _comparable(placed.join(counts, "_part").select(
+        (F.col("_before") + F.col("_place") + 1).alias("position"), *[F.col(f"`{key}`") for key in keys]))
+
+
 # --- allocation -----------------------------------------------------------------------
 
 
@@ -177,6 +190,11 @@ def allocation_report(spark, folder):
     )
 
 
+def allocation_order(spark, folder):
+    rows = reports.allocation_report(fixtures.allocation(spark, folder))
+    return _numbered(rows, "Item Code", "Allocation Priority Rank")
+
+
 # --- forecast -------------------------------------------------------------------------
 
 
@@ -207,11 +225,36 @@ def forecast_normalised_month(spark, folder):
     return _comparable(_normalised(fixtures.forecast(spark, folder), "month"))
 
 
+def forecast_normalised_spread(spark, folder):
+    return _comparable(_normalised(fixtures.forecast(spark, folder), "spread"))
+
+
+def forecast_gap_spread(spark, folder):
+    tables = fixtures.forecast(spark, folder)
+    rows = reports.forecast_gap_rows(tables, fixtures.FROM_DATE, fixtures.AS_OF, grain="spread")
+    return _comparable(rows, "unit_price_gbp", "unfulfilled_value_gbp")
+
+
+def forecast_order(spark, folder):
+    rows = reports.forecast_report(fixtures.forecast(spark, folder), fixtures.FROM_DATE, fixtures.AS_OF)
+    return _numbered(rows, "Year", "Month Number", "Forecast Reference", "Customer Code", "Product Code")
+
+
 def ordered_quantities(spark, folder):
     tables = fixtures.forecast(spark, folder)
     return _comparable(forecast.ordered_quantities(tables, fixtures.FROM_DATE))
 
 
+def forecast_gap_laid_out(spark, folder):
+    """The gap from tables written by month and bucket."""
+    path = scratch_folder(spark, "layout")
+    prefix = path.rsplit("/", 1)[-1].replace("-", "_")
+    layout.write_forecast_tables(fixtures.forecast(spark, folder), prefix, buckets=4, folder=path)
+    tables = layout.read_forecast_tables(spark, prefix, fixtures.FROM_DATE)
+    rows = reports.forecast_gap_rows(tables, fixtures.FROM_DATE, fixtures.AS_OF)
+    return _comparable(rows, "unit_price_gbp", "unfulfilled_value_gbp")
+
+
 def fx_forecast(spark, folder):
     tables = fixtures.forecast(spark, folder)
     rows = forecast.priced_forecast(_normalised(tables), tables).select(
@@ -317,18 +360,120 @@ def _chains(spark, folder):
 
 
 def bom_chain_requirements(spark, folder):
-    return bom.material_requirements(*_chains(spark, folder))
+    return bom.material_requirements(*_chains(spark, folder), doubling=True)
 
 
 def bom_chain_cost(spark, folder):
-    needed = bom.material_requirements(*_chains(spark, folder))
+    needed = bom.material_requirements(*_chains(spark, folder), doubling=True)
     rows = bom.total_cost(bom.cost_rollup(needed, fixtures.part_costs(spark, folder)))
     return _comparable(rows, "total_cost")
 
 
 def bom_chain_lead_time(spark, folder):
     days = fixtures.part_lead_days(spark, folder)
-    return bom.longest_lead_time(bom.lead_time(*_chains(spark, folder), days))
+    return bom.longest_lead_time(bom.lead_time(*_chains(spark, folder), days, doubling=True))
+
+
+def bom_requirements_doubled(spark, folder):
+    """Requirements of every product that is no component, over all paths."""
+    edges = bom.stored_edges(_edges(spark, folder))
+    return _comparable(bom.material_requirements(edges, bom.root_products(edges), doubling=True))
+
+
+def bom_order(spark, folder):
+    return _numbered(reports.bom_report(fixtures.bom(spark, folder), fixtures.BOM_ROOT), "FullPath", "Component")
+
+
+def bom_deep_explosion(spark, folder):
+    """Chains twice as deep as the explosion goes, all at once."""
+    rows = bom.explode_bom(*_chains(spark, folder))
+    return _comparable(rows.select("root_code", "level", "parent_code", "component_code", "quantity", "path"))
+
+
+def bom_long_paths(spark, folder):
+    """Paths that pass the limit of their length."""
+    edges = bom.stored_edges(fixtures.long_chain_edges(spark, folder))
+    rows = bom.explode_bom(edges, bom.root_products(edges))
+    return _comparable(rows.select("root_code", "level", "component_code", "path"))
+
+
+def low_level_codes(spark, folder):
+    return _comparable(hierarchy.low_level_codes(_edges(spark, folder)))
+
+
+def _demand(tables):
+    return allocation.open_lines(tables).select(
+        "item_code", F.col("promised_date").alias("due_date"), F.col("due_quantity").alias("quantity"))
+
+
+def net_requirements(spark, folder):
+    """Open order lines and all components they need, net of stock, by day."""
+    tables = fixtures.allocation(spark, folder)
+    return _comparable(planning.net_requirements(
+        _edges(spark, folder), _demand(tables), _stock(tables), lead_days=fixtures.part_lead_days(spark, folder)))
+
+
+def net_requirements_weekly(spark, folder):
+    """By week, with expected receipts, planned in lots."""
+    tables = fixtures.allocation(spark, folder)
+    return _comparable(planning.net_requirements(
+        _edges(spark, folder), _demand(tables), _stock(tables), fixtures.receipts(spark, folder),
+        fixtures.part_lead_days(spark, folder), fixtures.part_lots(spark, folder), grain="week"))
+
+
+def standard_costs(spark, folder):
+    rows = planning.standard_costs(_edges(spark, folder), fixtures.part_costs(spark, folder))
+    return _comparable(rows, "material_cost", "standard_cost", digits=2)
+
+
+def change_impact(spark, folder):
+    """What contains each component of the whole hierarchy."""
+    edges = bom.stored_edges(_edges(spark, folder))
+    components = edges.rows.select(F.col("component_code").alias("root_code")).distinct()
+    return _comparable(hierarchy.change_impact(edges, components))
+
+
+def bom_where_used_many(spark, folder):
+    """Paths upwards from every lowest component."""
+    edges = bom.stored_edges(_edges(spark, folder))
+    parents = edges.rows.select(F.col("parent_code").alias("root_code")).distinct()
+    lowest = edges.rows.select(F.col("component_code").alias("root_code")).distinct().join(parents, "root_code", "left_anti")
+    return _comparable(bom.where_used(edges, lowest))
+
+
+def _versions(spark, folder):
+    before = _edges(spark, folder)
+    return before, fixtures.changed_edges(spark, folder, before)
+
+
+def structure_changes(spark, folder):
+    return changes.structure_changes(*_versions(spark, folder))
+
+
+def touched_products(spark, folder):
+    before, after = _versions(spark, folder)
+    return _comparable(changes.touched_products(changes.structure_changes(before, after), before, after))
+
+
+def bom_cycles(spark, folder):
+    return hierarchy.cycles(fixtures.ring_edges(spark, folder))
+
+
+def endless_products(spark, folder):
+    return bom.endless_products(fixtures.ring_edges(spark, folder))
+
+
+def _references(spark, folder):
+    tables = fixtures.bom(spark, folder), fixtures.allocation(spark, folder), fixtures.forecast(spark, folder)
+    return quality.references(*fixtures.thinned(*tables))
+
+
+def missing_references(spark, folder):
+    return quality.missing_references(_references(spark, folder))
+
+
+def reference_checks(spark, folder):
+    return quality.reference_checks(_references(spark, folder))
 
 
 def input_quality(spark, folder):
@@ -352,5 +497,9 @@ QUERIES: dict[str, Query] = {
         bom_explosion, bom_explosion_recursive, bom_indented, bom_by_type,
         bom_extended_quantity, bom_material_requirements, bom_cost_rollup, bom_where_used,
         bom_lead_time, bom_chain_requirements, bom_chain_cost, bom_chain_lead_time, input_quality,
+        allocation_order, forecast_order, forecast_normalised_spread, forecast_gap_spread, forecast_gap_laid_out,
+        bom_requirements_doubled, bom_order, bom_deep_explosion, bom_long_paths, bom_where_used_many,
+        low_level_codes, net_requirements, net_requirements_weekly, standard_costs, change_impact,
+        structure_changes, touched_products, bom_cycles, endless_products, missing_references, reference_checks,
     )
 }

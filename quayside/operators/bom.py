@@ -14,6 +14,7 @@ where-used) have no limit unless one is given, and raise an error where a cycle
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -27,6 +28,7 @@ from quayside.sources.tables import BomTables
 
 MAX_DEPTH = 20
 CYCLE_CHECK = 12  # levels after which an unlimited walk looks for cycles
+ROUNDS = 64  # doubling beyond this many rounds would need paths of 2**64 products
 
 
 class StoredEdges(NamedTuple):
@@ -115,11 +117,29 @@ def _walk(
     return spark.read.schema(T.StructType([*schema.fields, T.StructField("level", T.IntegerType())])).parquet(folder)
 
 
+def _reached(frontier: DataFrame, edges: DataFrame) -> DataFrame:
+    """``product_code`` of all components at the frontier and below, each once."""
+    spark = edges.sparkSession
+    folder = scratch_folder(spark, "bom-reached")
+    found = frontier.select(F.col("component_code").alias("product_code")).distinct()
+    schema, level = found.schema, 0
+    while _store(found, f"{folder}/level={level}"):
+        found = spark.read.schema(schema).parquet(f"{folder}/level={level}")
+        below = found.join(edges, found["product_code"] == edges["parent_code"]).select(
+            F.col("component_code").alias("product_code"))
+        found = below.distinct().join(spark.read.schema(schema).parquet(folder), "product_code", "left_anti")
+        level += 1
+    return spark.read.schema(schema).parquet(folder)
+
+
 def _refuse_cycles(frontier: DataFrame, edges: DataFrame) -> None:
-    """Error if what the walk has reached leads into a cycle; a deep hierarchy is none."""
-    endless = endless_products(edges)
-    found = frontier.join(endless, F.col("component_code") == F.col("product_code"), "left_semi")
-    first = found.select("component_code").first()
+    """Error if what the walk has reached leads into a cycle; a deep hierarchy is none.
+
+    Only products below the frontier are looked at, however large the rest of the hierarchy is.
+    """
+    reached = _reached(frontier, edges)
+    own = edges.join(reached, edges["parent_code"] == reached["product_code"], "left_semi")
+    first = endless_products(own).first()
     if first is not None:
         raise ValueError(f"the hierarchy has a cycle below {first[0]}; see endless_products, or give max_depth")
 
@@ -217,14 +237,68 @@ def of_type(components: DataFrame, component_type: str) -> DataFrame:
     return components.where(F.col("component_type") == component_type)
 
 
+def path_totals(
+    edges: DataFrame, roots: str | DataFrame, join: dict[str, Callable[[Column, Column], Column]], add: dict[str, Column],
+) -> DataFrame:
+    """Values of all paths from each root to each component, added up, in rounds that double their length.
+
+    ``edges`` have parent_code, component_code and the values; ``join`` gives a value of two paths in a row from
+    the values of both, ``add`` the value of paths with the same ends, as an aggregate. After ``k`` rounds all
+    paths of up to 2**k lines are in. The pairs of products that are 2**k lines apart are kept
+    beside the result: for hierarchies with very many of them and few roots a walk by levels is better.
+    """
+    keys, values = ["parent_code", "component_code"], list(join)
+
+    def added(rows):
+        return rows.groupBy(*keys).agg(*[add[value].alias(value) for value in values])
+
+    def joined(first, second):
+        left = first.select(F.col("parent_code"), F.col("component_code").alias("middle"),
+                            *[F.col(value).alias(f"first_{value}") for value in values])
+        right = second.withColumnRenamed("parent_code", "middle")
+        return left.join(right, "middle").select(
+            *keys, *[join[value](F.col(f"first_{value}"), F.col(value)).alias(value) for value in values])
+
+    spark = edges.sparkSession
+    steps = stored(added(edges.select(*keys, *values)), "steps")
+    if isinstance(roots, str):
+        total = steps.where(F.col("parent_code") == roots)
+    else:
+        codes = roots.select(F.col("root_code").alias("parent_code")).distinct()
+        total = steps.join(codes, "parent_code", "left_semi")
+    total = stored(total.select(*keys, *values), "totals")
+    products = None
+    for number in range(ROUNDS):
+        path = scratch_folder(spark, "longer")
+        longer = joined(total, steps)
+        if _store(longer, path) == 0:
+            return total.withColumnRenamed("parent_code", "root_code")
+        if products is None:
+            products = edges.select("parent_code").distinct().count()
+        if 2**number > products:
+            break
+        total = stored(added(total.unionByName(spark.read.schema(longer.schema).parquet(path))), "totals")
+        steps = stored(added(joined(steps, steps)), "steps")
+    raise ValueError("the hierarchy has a cycle below the roots; see cycles")
+
+
 def material_requirements(
-    edges: Edges, roots: str | DataFrame, max_depth: int | None = None
+    edges: Edges, roots: str | DataFrame, max_depth: int | None = None, doubling: bool = False
 ) -> DataFrame:
     """Total quantity per component for one of each root, over all paths, and the number of paths.
 
     Paths that meet in a component are added up at every level, so a level has at most one row
-    per root and component however many paths there are.
+    per root and component however many paths there are. ``doubling`` takes rounds of
+    :func:`path_totals` in place of levels, which deep hierarchies need fewer of.
     """
+    if doubling:
+        if max_depth is not None:
+            raise ValueError("max_depth ends a walk by levels; doubling takes whole paths")
+        steps = _rows(edges).select(
+            "parent_code", "component_code", _factor(F.col("quantity")).alias("quantity"), F.lit(1).cast("bigint").alias("paths"))
+        times = {"quantity": operator.mul, "paths": operator.mul}
+        sums = {"quantity": F.sum("quantity"), "paths": F.sum("paths")}
+        return _of_roots(path_totals(steps, roots, times, sums), roots)
 
     def totals(rows):
         return rows.groupBy("root_code", "component_code").agg(
@@ -266,11 +340,12 @@ def total_cost(costed: DataFrame) -> DataFrame:
     )
 
 
-def where_used(edges: Edges, component: str, max_depth: int | None = None) -> DataFrame:
+def where_used(edges: Edges, component: str | DataFrame, max_depth: int | None = None) -> DataFrame:
     """All products above ``component``, one row per path upwards.
 
-    ``component_code`` is the product that uses the last one on the path, ``quantity`` how many
-    of that it takes.
+    ``used_in`` is the product that uses the last one on the path, ``quantity`` how many
+    of that it takes. A DataFrame of components (``root_code``) gives that column, too;
+    :func:`quayside.operators.hierarchy.change_impact` gives one row per pair, not per path.
     """
     upwards = _rows(edges).select(
         F.col("component_code").alias("parent_code"),
@@ -279,20 +354,20 @@ def where_used(edges: Edges, component: str, max_depth: int | None = None) -> Da
     )
     used = explode_bom(upwards, component, max_depth)
     return used.select(
-        "level", F.col("component_code").alias("used_in"), F.col("parent_code").alias("uses"),
+        *[c for c in ("root_code",) if c in used.columns], "level", F.col("component_code").alias("used_in"), F.col("parent_code").alias("uses"),
         "quantity", "path",
     )
 
 
 def lead_time(
     edges: Edges, roots: str | DataFrame, lead_days: DataFrame, max_depth: int | None = None,
-    default_days: int = 0,
+    default_days: int = 0, doubling: bool = False,
 ) -> DataFrame:
     """Longest sum of lead days from the root down to each component, over all paths.
 
     ``lead_days`` has one row per ``component_code``; a component it does not list, or lists
     without days, takes ``default_days`` and has ``listed`` false. Only the longest path into a
-    component is followed on from each level.
+    component is followed on from each level. ``doubling`` is that of :func:`material_requirements`.
     """
     days = F.coalesce(F.col("lead_days").cast("bigint"), F.lit(default_days).cast("bigint"))
     timed = _rows(edges).join(lead_days, "component_code", "left").select(
@@ -300,6 +375,13 @@ def lead_time(
         F.col("lead_days").isNotNull().alias("listed"),
     )
 
+    if doubling:
+        if max_depth is not None:
+            raise ValueError("max_depth ends a walk by levels; doubling takes whole paths")
+        in_a_row = {"days": operator.add, "listed": lambda _, listed: listed}
+        totals = path_totals(timed, roots, in_a_row, {"days": F.max("days"), "listed": F.bool_and("listed")})
+        return _of_roots(totals.withColumnRenamed("days", "longest_days"), roots)
+
     def longest(rows):
         return rows.groupBy("root_code", "component_code").agg(
             F.max("days").alias("days"), F.bool_and("listed").alias("listed")

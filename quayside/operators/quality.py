@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions.currency import GBP
 from quayside.functions.dates import FREQUENCY_STEPS
 from quayside.operators.bom import bom_edges, endless_products
+from quayside.session import stored
 from quayside.sources.tables import AllocationTables, BomTables, ForecastTables
 
 
+class Reference(NamedTuple):
+    """Key columns by which an inner join finds its partner, and the partner's own."""
+
+    check_name: str
+    keys: Sequence[str]
+    other: DataFrame
+    other_keys: Sequence[str]
+
+
 def repeated_keys(rows: DataFrame, *keys: str) -> DataFrame:
     """Keys that occur more than once, with their count."""
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
@@ -68,3 +80,76 @@ def input_quality(
             for name, rows in checks.items()
         ],
     )
+
+
+def references(bom: BomTables, allocation: AllocationTables, forecast: ForecastTables) -> list[tuple[DataFrame, list[Reference]]]:
+    """All inner joins of the three jobs, by the table whose rows they drop where no partner is found."""
+    priced = forecast.prices.where(F.col("unit_price") != 0)
+    wanted_prices = forecast.items.select("forecast_id", "product_id").join(
+        forecast.headers.select("forecast_id", "customer_id"), "forecast_id"
+    ).join(forecast.customers.select("customer_id", "price_band_id"), "customer_id")
+    return [
+        (bom.structures, [Reference("structure_product", ["product_id"], bom.products, ["product_id"])]),
+        (bom.components, [Reference("component_structure", ["structure_id"], bom.structures, ["structure_id"])]),
+        (allocation.movements, [Reference("movement_item", ["item_id"], allocation.items, ["item_id"])]),
+        (allocation.lines, [
+            Reference("line_order", ["order_id"], allocation.headers, ["order_id"]),
+            Reference("line_details", ["line_id"], allocation.line_view, ["line_id"]),
+        ]),
+        (allocation.headers, [
+            Reference("order_customer", ["customer_id"], allocation.customers, ["customer_id"]),
+            Reference("order_currency", ["currency_id"], allocation.currencies, ["currency_id"]),
+        ]),
+        (forecast.headers, [
+            Reference("forecast_frequency", ["frequency_id"], forecast.frequencies, ["frequency_id"]),
+            Reference("forecast_customer", ["customer_id"], forecast.customers, ["customer_id"]),
+        ]),
+        (forecast.items, [
+            Reference("item_forecast", ["forecast_id"], forecast.headers, ["forecast_id"]),
+            Reference("item_product", ["product_id"], forecast.products, ["product_id"]),
+        ]),
+        (forecast.quantities, [
+            Reference("quantity_item", ["forecast_item_id"], forecast.items, ["forecast_item_id"]),
+            Reference("quantity_period", ["period_id"], forecast.periods, ["period_id"]),
+        ]),
+        (wanted_prices, [Reference("item_price", ["product_id", "price_band_id"], priced, ["product_id", "price_band_id"])]),
+        (forecast.order_lines, [
+            Reference("order_line_order", ["order_id"], forecast.orders, ["order_id"]),
+            Reference("order_line_details", ["order_id", "line_number"], forecast.order_line_view, ["order_id", "line_number"]),
+        ]),
+        (forecast.orders, [Reference("sales_order_customer", ["customer_id"], forecast.customers, ["customer_id"])]),
+        (forecast.customers, [Reference("customer_currency", ["currency_id"], forecast.currencies, ["currency_id"])]),
+    ]
+
+
+def _keyed(names: Sequence[tuple[str, Sequence[str]]]) -> Column:
+    """One row per check: its name and the key as text; a key in parts is an array, so parts can't run together."""
+    return F.inline(F.array(*[
+        F.struct(F.lit(name).alias("check_name"), F.array(*[F.col(key).cast("string") for key in keys]).alias("key"))
+        for name, keys in names]))
+
+
+def missing_references(tables: Sequence[tuple[DataFrame, Sequence[Reference]]]) -> DataFrame:
+    """Keys without a partner, as check_name, key (parts joined by /, NULL as ?) and the number of rows an inner join drops.
+
+    Every table is read once for all its keys, and rows are counted per key before the shuffle, so that
+    a frequent key is one row; the distinct keys of all checks meet their partners in a single anti join. A key with a
+    NULL has no partner.
+    """
+    used = [rows.select(_keyed([(r.check_name, r.keys) for r in refs])) for rows, refs in tables]
+    used = reduce(DataFrame.unionByName, used).groupBy("check_name", "key").agg(F.count(F.lit(1)).alias("rows"))
+    known = [r.other.select(_keyed([(r.check_name, r.other_keys)])) for _, refs in tables for r in refs]
+    known = reduce(DataFrame.unionByName, known).where(~F.exists("key", lambda part: part.isNull())).distinct()
+    shown = F.array_join("key", "/", "?").alias("key")
+    return used.join(known, ["check_name", "key"], "left_anti").select("check_name", shown, "rows")
+
+
+def reference_checks(tables: Sequence[tuple[DataFrame, Sequence[Reference]]]) -> DataFrame:
+    """Per check, the keys without a partner and the rows that have them; 0 where all is well."""
+    found = stored(missing_references(tables), "missing").groupBy("check_name").agg(
+        F.count(F.lit(1)).alias("missing_keys"), F.sum("rows").alias("dropped_rows"))
+    names = [(r.check_name,) for _, refs in tables for r in refs]
+    checks = found.sparkSession.createDataFrame(names, "check_name string")
+    return checks.join(found, "check_name", "left").select(
+        "check_name", F.coalesce("missing_keys", F.lit(0)).alias("missing_keys"),
+        F.coalesce("dropped_rows", F.lit(0)).alias("dropped_rows"))

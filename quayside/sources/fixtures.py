@@ -404,6 +404,19 @@ def part_lead_days(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def part_lots(spark: SparkSession, folder: str) -> DataFrame:
+    """Lots of 1 to 25; every third part has none."""
+    return reader(spark, folder)("part").where(_mod("p_partkey", 3) != 0).select(
+        _code("p_partkey").alias("item_code"), (_mod("p_partkey", 25) + 1).alias("lot_size"))
+
+
+def receipts(spark: SparkSession, folder: str) -> DataFrame:
+    """Returned goods stand in for expected receipts."""
+    return reader(spark, folder)("lineitem").where(F.col("l_returnflag") == "R").select(
+        _code("l_partkey").alias("item_code"), F.col("l_shipdate").cast("date").alias("due_date"),
+        F.col("l_quantity").alias("quantity"))
+
+
 def chain_edges(spark: SparkSession, folder: str) -> DataFrame:
     """Chains of forty parts, each made of half or one and a half of the next."""
     part = reader(spark, folder)("part")
@@ -415,3 +428,60 @@ def chain_edges(spark: SparkSession, folder: str) -> DataFrame:
         _code("p_partkey").alias("parent_code"), "component_code", "description", "component_type",
         F.when(_mod("p_partkey", 2) == 0, 0.5).otherwise(1.5).alias("quantity"),
     )
+
+
+def _key(code: str) -> Column:
+    return F.substring(code, 2, 30).cast("bigint")
+
+
+def changed_edges(spark: SparkSession, folder: str, edges: DataFrame) -> DataFrame:
+    """A later version of the structures: lines left out, doubled, with other quantities, and new ones."""
+    turn = _key("parent_code") + _key("component_code")
+    quantity = F.when(turn % 7 == 0, F.col("quantity") + 1).otherwise(F.col("quantity"))
+    copies = F.when(turn % 11 == 0, 2).when(turn % 9 == 0, 0).otherwise(1)
+    kept = edges.withColumn("copies", copies).where("copies > 0").withColumn("quantity", quantity).select(
+        *edges.columns, F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("col")
+    part = reader(spark, folder)("part")
+    below = part.select(
+        (F.col("p_partkey") - 1).alias("above_key"), _code("p_partkey").alias("component_code"),
+        F.col("p_name").alias("description"), F.col("p_type").alias("component_type"),
+    ).where(_mod("above_key", 13) == 0)
+    new = part.join(below, F.col("p_partkey") == F.col("above_key")).select(
+        _code("p_partkey").alias("parent_code"), "component_code", "description", "component_type", F.lit(2.0).alias("quantity"))
+    return kept.select(*new.columns).unionByName(new)
+
+
+def ring_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """The chains, some of them closed: from the end back to seven parts above, or to themselves."""
+    ends = reader(spark, folder)("part").where(_mod("p_partkey", CHAIN) == CHAIN - 1).withColumn(
+        "chain", F.floor(F.col("p_partkey") / CHAIN))
+    back = F.when(_mod("chain", 3) == 0, F.col("p_partkey") - 7).when(_mod("chain", 3) == 1, F.col("p_partkey"))
+    closing = ends.withColumn("back", back).where("back IS NOT NULL").select(
+        _code("p_partkey").alias("parent_code"), _code("back").alias("component_code"))
+    return chain_edges(spark, folder).select("parent_code", "component_code").unionByName(closing)
+
+
+def long_chain_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """The chains with codes of 250 characters, so that paths pass their limit before the depth does."""
+    return chain_edges(spark, folder).withColumns({
+        name: F.rpad(name, 250, "-") for name in ("parent_code", "component_code")})
+
+
+def thinned(
+    bom: BomTables, allocation: AllocationTables, forecast: ForecastTables
+) -> tuple[BomTables, AllocationTables, ForecastTables]:
+    """The inputs with some referenced rows gone, as extracts taken at different times have them."""
+    def without(rows, key, divisor, rest):
+        return rows.where(_mod(key, divisor) != rest)
+
+    return (
+        bom._replace(products=without(bom.products, "product_id", 41, 3), structures=without(bom.structures, "structure_id", 37, 5)),
+        allocation._replace(
+            items=without(allocation.items, "item_id", 43, 1), headers=without(allocation.headers, "order_id", 29, 2),
+            customers=without(allocation.customers, "customer_id", 31, 4), line_view=without(allocation.line_view, "line_id", 23, 6)),
+        forecast._replace(
+            headers=without(forecast.headers, "forecast_id", 29, 2), periods=without(forecast.periods, "period_id", 6, 5),
+            orders=without(forecast.orders, "order_id", 53, 7), customers=without(forecast.customers, "customer_id", 31, 4),
+            order_line_view=without(forecast.order_line_view, "line_number", 23, 6),
+            currencies=without(forecast.currencies, "currency_id", 5, 4)),
+    )

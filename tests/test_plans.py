@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quayside.operators import allocation, forecast
 from quayside.operators.skew import HotKeys
 from quayside.plans import reports
-from quayside.sources import erp, fixtures
+from quayside.sources import erp, fixtures, layout
 
 
 def plan(frame, mode=None):
@@ -95,3 +95,50 @@ def test_no_cross_products_and_no_python_workers(spark):
         text = plan(rows)
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
         assert "Python" not in text
+
+
+def test_distinct_gaps_use_the_partitioning_of_the_join(stored, large_tables, without_adaptive):
+    """No exchange between the left join with the orders and the distinct above it."""
+    tables = erp.forecast_tables(stored(erp.FORECAST_EXTRACTS))
+    rows = plan(reports.forecast_gap_rows(tables, "2024-01-01", "2024-06-01 00:00:00")).splitlines()
+    join = next(i for i, row in enumerate(rows) if "SortMergeJoin" in row and "LeftOuter" in row)
+    assert not [row for row in rows[:join] if "Exchange" in row] and any("HashAggregate" in row for row in rows[:join])
+
+
+def test_missing_references_take_one_anti_join(spark, large_tables):
+    from quayside.operators import quality
+
+    folder = "/root/testdata/sf0.001"
+    tables = fixtures.bom(spark, folder), fixtures.allocation(spark, folder), fixtures.forecast(spark, folder)
+    assert plan(quality.missing_references(quality.references(*tables))).count("LeftAnti") == 1
+
+
+@pytest.fixture
+def laid_out(spark, tmp_path):
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    layout.write_forecast_tables(fixtures.forecast(spark, "/root/testdata/sf0.001"), "laid_out", 4, str(tmp_path))
+    yield layout.read_forecast_tables(spark, "laid_out", "1998-05-20")
+    layout.drop_tables(spark, "laid_out")
+    spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+
+
+def test_bucketed_orders_join_without_an_exchange(laid_out, large_tables, without_adaptive):
+    tables = laid_out._replace(customers=F.broadcast(laid_out.customers))
+    text = plan(forecast.ordered_quantities(tables, "1998-05-20"), "formatted")
+    exchanges = [row for row in plan(forecast.ordered_quantities(tables, "1998-05-20")).splitlines() if "Exchange hash" in row]
+    assert len(exchanges) == 1 and "customer_code" in exchanges[0]  # that of the aggregate
+    assert "PartitionFilters: [isnotnull(promised_month" in text and "1998-05-01" in text
+
+
+def test_headers_prune_the_months_of_their_items(laid_out, spark):
+    text = plan(forecast.forecast_base(laid_out, "1998-05-20"), "formatted")
+    assert "dynamicpruningexpression(start_month" in text
+    months = {r.start_month for r in spark.table("laid_out_items").select("start_month").distinct().collect()}
+    assert len(months) > 12
+
+
+def test_buckets_of_items_join_without_an_exchange(laid_out, large_tables, without_adaptive):
+    small = laid_out._replace(frequencies=F.broadcast(laid_out.frequencies), periods=F.broadcast(laid_out.periods))
+    rows = plan(forecast.forecast_base(small, "1998-05-20")).splitlines()
+    keys = [row for row in rows if "Exchange hash" in row]
+    assert len(keys) == 1 and "forecast_item_id" in keys[0]  # quantities are bucketed by item already

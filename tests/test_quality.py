@@ -11,3 +11,20 @@ def test_checks_find_what_is_wrong(table):
     lines = table("line_id long, account_id long", (1, 1), (2, 9), (3, None))
     accounts = table("account_id long, account_name string", (1, "a"))
     assert quality.unmatched(lines, accounts, "account_id").count() == 2
+
+
+def test_keys_without_a_partner(table):
+    lines = table("order_id long, line_number int, item string", (1, 1, "a"), (1, 2, "b"), (9, 1, "a"), (9, 2, None), (None, 1, "a"))
+    orders = table("id int", (1,), (2,), (None,))
+    views = table("order_id string, number long", ("1", 1), ("1", 1), ("9", None), ("11", 2))
+    tables = [(lines, [quality.Reference("order", ["order_id"], orders, ["id"]),
+                       quality.Reference("view", ["order_id", "line_number"], views, ["order_id", "number"])]),
+              (orders, [quality.Reference("self", ["id"], orders, ["id"])])]
+    found = {(r.check_name, r.key): r.rows for r in quality.missing_references(tables).collect()}
+    assert found == {("order", "9"): 2, ("order", "?"): 1, ("view", "1/2"): 1, ("view", "9/1"): 1, ("view", "9/2"): 1,
+                     ("view", "?/1"): 1, ("self", "?"): 1}
+    summary = {r.check_name: (r.missing_keys, r.dropped_rows) for r in quality.reference_checks(tables).collect()}
+    assert summary == {"order": (2, 3), "view": (4, 4), "self": (1, 1)}
+    whole = [(orders.where("id = 1"), [quality.Reference("self", ["id"], orders, ["id"])])]
+    assert [tuple(r) for r in quality.reference_checks(whole).collect()] == [("self", 0, 0)]
+    assert quality.missing_references([(lines.limit(0), tables[0][1])]).count() == 0
