@@ -41,7 +41,7 @@ LIMIT = 4096
 CHUNK = 1 << 15
 FAN_IN = 64
 TRANSITIONS = 250_000  # kept by a task; beyond that it starts anew
-SMALL = 32  # pieces below a node that are all compared
+SMALL = 12  # pieces below a node that are all compared
 SPACE = "▁"
 NONE = -1
 
@@ -52,10 +52,26 @@ BPE = 2
 
 
 class Pieces(NamedTuple):
-    """Rank of each piece by its score, 0 the best, and whether texts begin with a space."""
+    """Rank of each piece by its score, 0 the best, and whether texts begin with a space.
+
+    ``names`` are the pieces that can be in a result, and single characters that aren't pieces themselves;
+    ``halves`` the two pieces each of them is merged from last.
+    """
 
     ranks: dict[str, int]
     prefix: bool
+    names: list[str]
+    halves: dict[str, list[str]]
+
+    @property
+    def longest(self) -> int:
+        return max(map(len, self.names), default=1)
+
+    def written(self, text: str) -> str:
+        """A text as pieces spell it."""
+        if not text:
+            return text
+        return (SPACE if self.prefix else "") + text.replace(" ", SPACE)
 
 
 def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -105,7 +121,12 @@ def read_pieces(path: str) -> Pieces:
             if kind == NORMAL:
                 scored.append((struct.unpack("<f", piece[2])[0], piece[1].decode()))
     ranks = {score: rank for rank, score in enumerate(sorted({score for score, _ in scored}, reverse=True))}
-    return Pieces({name: ranks[score] for score, name in scored}, bool(normalizer.get(3, 1)))
+    ranks = {name: ranks[score] for score, name in scored}
+    # A piece that its own text does not give never occurs in a result.
+    names = [name for name in ranks if len(name) == 1 or merged(name, ranks) == [name]]
+    names += [character for character in dict.fromkeys("".join(ranks)) if character not in ranks]
+    halves = {name: merged(name, ranks, 2) for name in names if len(name) > 1}
+    return Pieces(ranks, bool(normalizer.get(3, 1)), names, halves)
 
 
 def merged(text: str, ranks: dict[str, int], few: int = 1) -> list[str]:
@@ -133,7 +154,8 @@ class State(dict):
         return made
 
 
-Thread = tuple[int, int]  # node, piece before it
+#: Node, and the piece before it; near the ends of the tree the pieces below the node that fit it.
+Thread = tuple[int, int | tuple[int, ...]]
 Map = dict[Thread, dict[Thread, int]]
 
 
@@ -141,15 +163,9 @@ class Transducer:
     """Counts pieces; states and transitions are compiled on the way."""
 
     def __init__(self, pieces: Pieces):
-        self.prefix = pieces.prefix
-        self.ranks = pieces.ranks
-        alphabet = dict.fromkeys("".join(pieces.ranks))
-        # A piece that its own text does not give never occurs in a result.
-        self.names = [n for n in pieces.ranks if len(n) == 1 or merged(n, self.ranks) == [n]]
-        self.names += [c for c in alphabet if c not in self.ranks]
+        self.written, self.longest = pieces.written, pieces.longest
+        self.ranks, self.names, self.halves = pieces.ranks, pieces.names, pieces.halves
         self.weights = [1 if n in self.ranks else len(n.encode()) for n in self.names]
-        self.longest = max(map(len, self.names), default=1)
-        self.halves = {n: merged(n, self.ranks, 2) for n in self.names if len(n) > 1}
         self.together = {n[i : i + 2] for n in self.names for i in range(len(n) - 1)}
         self.children: list[dict[str, int]] = [{}]
         self.piece: list[int] = [NONE]
@@ -171,8 +187,9 @@ class Transducer:
 
     def forget(self) -> None:
         self.states: dict[tuple, State] = {}
+        self.lower: dict[int, tuple[int, ...]] = {}
         self.edges: dict[tuple[int, int], list] = {}
-        self.alike: dict[tuple, int | None] = {}
+        self.alike: dict[tuple, int | tuple | None] = {}
         self.made = 0
 
     def prune(self) -> None:
@@ -214,22 +231,31 @@ class Transducer:
             else:
                 j += 1
 
-    def like(self, node: int, piece: int) -> int | None:
-        """A piece that the same pieces below a node fit; None where none does, NONE where all do."""
+    def under(self, node: int) -> tuple[int, ...]:
+        """Pieces below a node."""
+        if node in self.lower:
+            return self.lower[node]
+        found, ahead = [], list(self.children[node].values())
+        while ahead:
+            at = ahead.pop()
+            ahead += self.children[at].values()
+            if self.piece[at] != NONE:
+                found.append(self.piece[at])
+        self.lower[node] = tuple(sorted(found))
+        return self.lower[node]
+
+    def like(self, node: int, piece: int | tuple[int, ...]) -> int | tuple[int, ...] | None:
+        """The piece before a node as far as it matters there: to the few pieces below.
+
+        None if none of them fits, NONE if all do, otherwise those that do: the same for
+        all pieces that are alike here, whichever was met first.
+        """
         if piece == NONE or self.below[node] > SMALL:
             return piece
         if (node, piece) not in self.alike:
-            fitting, ahead = [], list(self.children[node].values())
-            while ahead:
-                at = ahead.pop()
-                ahead += self.children[at].values()
-                if self.piece[at] != NONE and self.fits(piece, self.piece[at]):
-                    fitting.append(self.piece[at])
-            if len(fitting) in (0, self.below[node]):
-                same = NONE if fitting else None
-            else:
-                same = self.alike.setdefault((node, *fitting, "like"), piece)
-            self.alike[node, piece] = same
+            under = self.under(node)
+            fitting = tuple(p for p in under if (p in piece if isinstance(piece, tuple) else self.fits(piece, p)))
+            self.alike[node, piece] = (fitting if len(fitting) < len(under) else NONE) if fitting else None
         return self.alike[node, piece]
 
     def before(self, piece: int, character: str) -> int:
@@ -260,7 +286,7 @@ class Transducer:
                     ended = (0, NONE, count + len(character.encode()))
                 continue
             number = self.piece[below]
-            if number != NONE and (piece == NONE or self.fits(piece, number)):
+            if number != NONE and (piece == NONE or (number in piece if isinstance(piece, tuple) else self.fits(piece, number))):
                 ended = (0, number, count + self.weights[number])
             if self.children[below] and (piece := self.like(below, piece)) is not None:
                 going.append((below, piece, count))
@@ -277,12 +303,6 @@ class Transducer:
             total += moved
         return state, total
 
-    def written(self, text: str) -> str:
-        """The text as pieces spell it."""
-        if not text:
-            return text
-        return (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-
     def count(self, text: str) -> int:
         self.prune()
         return self.run(self.start(), self.written(text))[1]
@@ -309,7 +329,7 @@ class Transducer:
                     ends = {self.like(node, piece) for piece in ends} - {None}
                 if at and before[at - 1] not in self.children[0] or not at and len(before) < 2 * self.longest:
                     ends.add(NONE)
-                found += [(node, piece) for piece in sorted(ends)]
+                found += [(node, piece) for piece in ends]
         return found
 
     def _ending(self, text: str) -> Iterator[int]:
@@ -368,7 +388,10 @@ def packed(made: Map) -> bytes:
 
 
 def unpacked(value: bytes) -> Map:
-    return {(node, piece): {(n, p): count for n, p, count in ends} for node, piece, ends in json.loads(value)}
+    def whole(piece):
+        return tuple(piece) if isinstance(piece, list) else piece
+
+    return {(node, whole(piece)): {(n, whole(p)): count for n, p, count in ends} for node, piece, ends in json.loads(value)}
 
 
 def _whole(pieces: Pieces):
@@ -388,11 +411,10 @@ def _cut(pieces: Pieces, chunk: int):
     """Chunks of long texts, each with the characters in front of it and the one behind it."""
 
     def run(batches):
-        transducer = Transducer(pieces)
-        margin = 2 * transducer.longest
+        margin = 2 * pieces.longest
         for block in blocks(batches, "text"):
             for key, text in zip(block.column("key").to_pylist(), block.column("text").to_pylist()):
-                text = transducer.written(text)
+                text = pieces.written(text)
                 for part, start in enumerate(range(0, len(text), chunk)):
                     end = start + chunk
                     yield pa.RecordBatch.from_pydict({

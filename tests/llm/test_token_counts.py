@@ -60,6 +60,25 @@ def test_maps_compose(library, transducer, text, chunk):
         assert [count for (node, _), count in made[0, token_counts.NONE].items() if node == 0] == [expected]
 
 
+def test_maps_of_other_workers(library):
+    """Chunks mapped by transducers that have read other texts before."""
+    pieces, rng = token_counts.read_pieces(PATH), random.Random(7)
+    names = list(pieces.ranks)
+    made = [token_counts.Transducer(pieces) for _ in range(3)]
+    for transducer in made:
+        for _ in range(300):
+            transducer.count("".join(rng.choices(names, k=20)))
+    for _ in range(150):
+        text = "".join(rng.choices(names, k=60)).replace("▁", "")
+        written, whole = pieces.written(text), None
+        for start in range(0, len(written), 13):
+            chunk = rng.choice(made).chunk_map(
+                written[max(0, start - 2 * pieces.longest) : start], written[start : start + 13], written[start + 13 : start + 14])
+            chunk = token_counts.unpacked(token_counts.packed(chunk))
+            whole = chunk if whole is None else token_counts.composed(whole, chunk)
+        assert [n for (node, _), n in whole[0, token_counts.NONE].items() if node == 0] == [len(library.encode(text))]
+
+
 def test_query(spark, library):
     folder = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
