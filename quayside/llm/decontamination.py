@@ -10,8 +10,13 @@ Words are maximal runs of letters A-Z (lower-cased), digits and non-ASCII charac
 ``size`` consecutive words of an item; an item with fewer words, but not none, is one window.
 
 Defined results: NULL and empty texts have no words and no hits; items without words or with NULL
-text never occur; repeated item ids count as one item; an empty benchmark marks nothing; repeated
+text never occur; repeated item ids count as one item; items without an id count as one item without a name,
+and their passages are hits like any others; an empty benchmark marks nothing; repeated
 documents are marked alike; other columns are carried along.
+
+:func:`benchmark_matches` gives every match of every item, a row's worth of them per document; where many
+items share a passage, :func:`benchmark_hits` is the one to use: its stretches do not name items, and each item is
+named once per document.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from quayside.llm.common import LOWER, blocks, free_name, stored, table, texts_o
 
 WINDOW = 10
 SHARD_BYTES = 8 << 20
-BENCHMARK_BYTES = 32 << 20
+BENCHMARK_BYTES = 8 << 20
 _WORD_BYTES = {*b"0123456789", *range(65, 91), *range(97, 123), *range(128, 256)}
 _WORDS = bytes(LOWER[b] if b in _WORD_BYTES else 32 for b in range(256))
 MATCHES = "array<struct<item_id:string,item_start:bigint,start:bigint,length:bigint>>"
@@ -94,28 +99,88 @@ class Benchmark:
     def __init__(self, items: list[tuple[str, bytes]], size: int):
         self.vocabulary: dict[bytes, int] = {}
         self.size = size
-        rows, self.item, self.at, self.length, self.names = [], [], [], [], []
+        rows, item, at, length, self.names = [], [], [], [], []
         for name, text in items:
-            ids = [self.vocabulary.setdefault(word, len(self.vocabulary) + 1) for word in words(text)]
-            if not ids:
+            found = words(text)
+            if not found:
                 continue
+            ids = np.array([self.vocabulary.setdefault(word, len(self.vocabulary) + 1) for word in found], np.int32)
+            count, held = max(1, len(ids) - size + 1), min(size, len(ids))
+            own = np.zeros((count, size), np.int32)
+            own[:, :held] = np.lib.stride_tricks.sliding_window_view(ids, held)
+            rows.append(own)
+            item.append(np.full(count, len(self.names), np.int32))
+            at.append(np.arange(count, dtype=np.int32))
+            length.append(np.full(count, held, np.int32))
             self.names.append(name)
-            for start in range(max(1, len(ids) - size + 1)):
-                window = ids[start : start + size]
-                rows.append(window + [0] * (size - len(window)))
-                self.item.append(len(self.names) - 1)
-                self.at.append(start)
-                self.length.append(len(window))
-        self.item, self.at, self.length = (np.array(x, np.int64) for x in (self.item, self.at, self.length))
-        self.windows, self.which = np.unique(np.array(rows, np.int64).reshape(-1, size), axis=0, return_inverse=True)
-        self.which = self.which.reshape(-1)
+        none = [np.zeros(0, np.int32)]
+        self.item, self.at, self.length = (np.concatenate(x or none).astype(np.int64) for x in (item, at, length))
+        every = np.concatenate(rows) if rows else np.zeros((0, size), np.int32)
+        # Equal rows next to each other: each distinct window once, and which one every row is.
+        order = np.lexsort(every.T[::-1])
+        every = every[order]
+        new = np.ones(len(every), bool)
+        new[1:] = (every[1:] != every[:-1]).any(axis=1)
+        self.windows = every[new].astype(np.int64)
+        self.which = np.empty(len(every), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+        #: Items of each window: those from ``starts[w]`` to ``starts[w + 1]``.
+        owners = np.unique(np.stack((self.which, self.item), axis=1), axis=0) if len(every) else np.zeros((0, 2), np.int64)
+        self.owner, self.starts = owners[:, 1], np.searchsorted(owners[:, 0], np.arange(len(self.windows) + 1))
+        self.held = (self.windows > 0).sum(axis=1)
+
+    def _text(self, documents: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words, a zero behind each document, and where documents start."""
+        get = self.vocabulary.get
+        sizes = np.array([len(d) for d in documents], np.int64)
+        starts = np.concatenate(([0], np.cumsum(sizes + 1)))
+        text = np.zeros(starts[-1], np.int64)
+        for start, document in zip(starts.tolist(), documents):
+            text[start : start + len(document)] = [get(word, 0) for word in document]
+        return text, starts
 
-    def occurrences(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Window number and position in ``text`` of every occurrence."""
+    def _ranges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Suffixes in order, and the range of those that begin with each window."""
         text = np.concatenate((text, np.zeros(self.size, np.int64)))
         # A word outside the benchmark (zero) starts no match and ends every match that meets it.
         order = suffix_array(text, self.size)
-        low, high = prefix_range(text, order, self.windows)
+        return order, *prefix_range(text, order, self.windows)
+
+    def hits(self, documents: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], list]]:
+        """Stretches of hit words (start, end) of each document, and the items that occur, once each."""
+        out: list[tuple[list, list]] = [([], []) for _ in documents]
+        if not len(self.windows):
+            return out
+        text, starts = self._text(documents)
+        order, low, high = self._ranges(text)
+        found = high - low
+        window = np.repeat(np.arange(len(found)), found)
+        position = order[np.repeat(low - np.concatenate(([0], np.cumsum(found)[:-1])), found) + np.arange(len(window))]
+        if not len(window):
+            return out
+        change = np.zeros(len(text) + 1, np.int64)
+        np.add.at(change, position, 1)
+        np.add.at(change, position + self.held[window], -1)
+        covered = np.concatenate(([False], np.cumsum(change)[:-1] > 0, [False]))
+        edges = np.flatnonzero(covered[1:] != covered[:-1])
+        document = np.searchsorted(starts, edges[::2], "right") - 1
+        for d, begin, end in zip(document.tolist(), edges[::2].tolist(), edges[1::2].tolist()):
+            out[d][0].append((begin - int(starts[d]), end - int(starts[d])))
+        # Each window of a document once, then its items: no more rows than documents have different items and windows.
+        owner = np.searchsorted(starts, position, "right") - 1
+        pairs = np.unique(owner * len(self.windows) + window)
+        owner, window = pairs // len(self.windows), pairs % len(self.windows)
+        for d in np.unique(owner).tolist():
+            own = window[np.searchsorted(owner, d) : np.searchsorted(owner, d, "right")]
+            mask = np.zeros(len(self.names), bool)
+            for w in own.tolist():
+                mask[self.owner[self.starts[w] : self.starts[w + 1]]] = True
+            out[d][1].extend(map(self.names.__getitem__, np.flatnonzero(mask).tolist()))
+        return out
+
+    def occurrences(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Window number and position in ``text`` of every occurrence."""
+        order, low, high = self._ranges(text)
         found = (high - low)[self.which]
         rows = np.repeat(np.arange(len(self.which)), found)
         first = np.repeat(low[self.which] - np.concatenate(([0], np.cumsum(found)[:-1])), found)
@@ -126,12 +191,7 @@ class Benchmark:
         out: list[list[dict]] = [[] for _ in documents]
         if not len(self.windows):
             return out
-        get = self.vocabulary.get
-        sizes = np.array([len(d) for d in documents], np.int64)
-        starts = np.concatenate(([0], np.cumsum(sizes + 1)))
-        text = np.zeros(starts[-1], np.int64)
-        for start, document in zip(starts.tolist(), documents):
-            text[start : start + len(document)] = [get(word, 0) for word in document]
+        text, starts = self._text(documents)
         rows, position = self.occurrences(text)
         if not len(rows):
             return out
@@ -161,8 +221,8 @@ def _benchmark_blocks(benchmark: DataFrame, id_column: str, text_column: str):
     """Items in blocks of about ``BENCHMARK_BYTES``, one on the driver at a time; whether it is the last."""
     items = benchmark.select(
         F.col(id_column).cast("string").alias("id"), F.col(text_column).cast("binary").alias("text")
-    ).where("id IS NOT NULL AND octet_length(text) > 0")
-    total = items.agg(F.sum(F.octet_length("text") + F.length("id"))).first()[0] or 0
+    ).where("octet_length(text) > 0")
+    total = items.agg(F.sum(F.octet_length("text") + F.coalesce(F.length("id"), F.lit(0)))).first()[0] or 0
     count = -(-total // BENCHMARK_BYTES)
     if count <= 1:
         yield items.collect(), True
@@ -210,36 +270,76 @@ def benchmark_matches(
     return result
 
 
-def hits(matches: list[dict]) -> int:
-    """Words inside any match."""
-    total = end = 0
-    for start, stop in sorted((m["start"], m["start"] + m["length"]) for m in matches):
-        total += max(0, stop - max(start, end))
-        end = max(end, stop)
-    return total
+def joined(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches (start, end) in order, those that touch or overlap as one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(stretches):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def benchmark_hits(
+    documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, text_column="text", item_column="item_id",
+    item_text_column="text", keep=None, names=("n_words", "stretches", "items"),
+) -> DataFrame:
+    """Documents (columns ``keep``, or all) with their number of words, the stretches of hit words and the items.
+
+    Stretches (start, end) don't overlap; ``items`` are the ids of the items that occur, in order, each once.
+    """
+    stretch = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    added = [T.StructField(names[0], T.LongType()),
+             T.StructField(names[1], T.DataType.fromDDL("array<struct<start:bigint,end:bigint>>")),
+             T.StructField(names[2], T.DataType.fromDDL("array<string>"))]
+    result, number = documents, 0
+    for items, last in _benchmark_blocks(benchmark, item_column, item_text_column):
+        columns = (keep or documents.columns) if last else documents.columns
+        shared = documents.sparkSession.sparkContext.broadcast([(r["id"], bytes(r["text"])) for r in items])
+
+        def run(batches, shared=shared, first=number == 0, columns=columns):
+            index = Benchmark(shared.value, size)
+            for block, texts in _shards(batches, text_column):
+                found = index.hits(texts)
+                if not first:
+                    before = zip(block.column(names[1]).to_pylist(), block.column(names[2]).to_pylist())
+                    found = [([*((s["start"], s["end"]) for s in old), *new], [*held, *more])
+                             for (old, held), (new, more) in zip(before, found)]
+                runs = [[{"start": s, "end": e} for s, e in joined(own)] for own, _ in found]
+                ids = [sorted(set(own), key=lambda name: (name is None, name or "")) for _, own in found]
+                yield pa.RecordBatch.from_arrays(
+                    [*(block.column(c) for c in columns), pa.array([len(t) for t in texts], pa.int64()),
+                     pa.array(runs, stretch), pa.array(ids, pa.list_(pa.string()))], [*columns, *names])
+
+        result = result.mapInArrow(run, T.StructType([*documents.select(*columns).schema.fields, *added]))
+        number += 1
+        if not last and number % 4 == 0:
+            result = stored(result, "hits")
+    return result
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, **names) -> DataFrame:
     """Documents without any window of the benchmark, with their own columns only."""
-    column, count = (free_name(documents.columns, name) for name in ("matches", "n_words"))
-    marked = benchmark_matches(documents, benchmark, size, column=column, count_column=count, **names)
-    return marked.where(F.size(column) == 0).select(*documents.columns)
+    own = [free_name(documents.columns, name) for name in ("n_words", "stretches", "items")]
+    marked = benchmark_hits(documents, benchmark, size, names=own, **names)
+    return marked.where(F.size(own[1]) == 0).select(*documents.columns)
 
 
 def op9_decontamination(spark, folder: str) -> DataFrame:
     """Per document: its words, the words hit, the items that occur, and whether any does."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    marked = benchmark_matches(documents, table(spark, folder, "benchmark"), keep=["doc_id"])
+    marked = benchmark_hits(documents, table(spark, folder, "benchmark"), keep=["doc_id"])
 
     def run(batches):
         for batch in batches:
-            found = batch.column("matches").to_pylist()
-            names = [sorted({m["item_id"] for m in row}) for row in found]
-            hit = [hits(row) for row in found]
+            names = batch.column("items").to_pylist()
+            hit = [sum(s["end"] - s["start"] for s in row) for row in batch.column("stretches").to_pylist()]
+            named = [",".join(x for x in row if x is not None) for row in names]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("n_words"), pa.array(hit, pa.int64()),
                 pa.array([len(x) for x in names], pa.int64()),
-                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]),
+                pa.array([hashlib.sha256(x.encode()).hexdigest() for x in named]),
                 pa.array([x > 0 for x in hit]),
             ], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
