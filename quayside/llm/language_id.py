@@ -3,8 +3,8 @@
 The network reads windows of 64 bytes in both directions and gives every byte a probability per
 language; a document's probabilities are the mean over all its bytes. It is trained in numpy by
 backpropagation through time on a bounded sample: at most ``SAMPLE_DOCUMENTS`` labelled documents
-per language, ``SAMPLE_WINDOWS`` windows of each, and at most ``MAX_LANGUAGES`` languages, the most
-frequent ones. Prediction uses the text alone and reads all of it.
+per language, ``SAMPLE_WINDOWS`` windows of each. Every language with a label is learned; the model and the
+sample have a part for each. Prediction uses the text alone and reads all of it.
 
 Defined results: a NULL text, or one without a letter, is ``und`` with score 0; without a labelled
 document to learn from every text is ``und``; a NULL id counts as held out; repeated rows get equal
@@ -28,7 +28,6 @@ WINDOW = 64
 HIDDEN = 8
 SAMPLE_DOCUMENTS = 600
 SAMPLE_WINDOWS = 4
-MAX_LANGUAGES = 200
 STEPS, BATCH, RATE = 300, 64, 0.02
 WINDOWS_AT_ONCE = 4096
 UNKNOWN = "und"
@@ -188,13 +187,13 @@ def sample(documents: DataFrame, id_column="doc_id", text_column="text", languag
         id_remainder(id_column, 5).alias("fold"), language.alias("lang"), F.col(text_column).alias("text"),
         F.pmod(F.xxhash64(id_column), F.lit(1 << 30)).alias("draw"),
     ).where("fold <> 0 AND lang IS NOT NULL AND text <> ''").drop("fold")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return [], np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64)
-    chosen = F.lit(False)
-    for r in counts:
-        chosen |= (F.col("lang") == r["lang"]) & (F.col("draw") < (1 << 30) * min(1.0, 1.5 * SAMPLE_DOCUMENTS / r["count"]))
+    most = [(r["lang"], (1 << 30) * min(1.0, 1.5 * SAMPLE_DOCUMENTS / r["count"])) for r in counts]
+    # One row per language, as the model has.
+    most = F.broadcast(documents.sparkSession.createDataFrame(most, "lang string, most double"))
 
     def cut(batches):
         for batch in batches:
@@ -204,7 +203,7 @@ def sample(documents: DataFrame, id_column="doc_id", text_column="text", languag
                 yield pa.RecordBatch.from_pydict({"lang": [lang], "draw": [draw], "windows": pa.array([pieces], pa.list_(pa.binary()))})
 
     limit = 2 * SAMPLE_DOCUMENTS * len(languages)
-    drawn = rows.where(chosen).orderBy("draw", F.xxhash64("text")).limit(limit)
+    drawn = rows.join(most, "lang").where(F.col("draw") < F.col("most")).drop("most").orderBy("draw", F.xxhash64("text")).limit(limit)
     taken: dict[str, list] = {name: [] for name in languages}
     for r in drawn.mapInArrow(cut, "lang string, draw bigint, windows array<binary>").collect():
         taken[r["lang"]].append((r["draw"], [bytes(w) for w in r["windows"]]))
@@ -277,9 +276,17 @@ def identify(
 
 
 def in_some_language(documents: DataFrame, **columns) -> DataFrame:
-    """Documents less those that are in no language: without text or without a letter."""
+    """Documents less those that are in no language: without text or without a letter.
+
+    Where no document has a label to learn from, the others all stay.
+    """
     names = [free_name(documents.columns, name) for name in ("lang_pred", "score")]
-    marked = identify(documents, fit(documents, **columns), columns.get("text_column", "text"), names=names)
+    network = fit(documents, **columns)
+    text = columns.get("text_column", "text")
+    if network is None:  # no label to learn from: a text with a letter is in some language all the same
+        lettered = F.udf(lambda value: bool(value and LETTER.search(value)), T.BooleanType(), useArrow=True)
+        return documents.where(F.coalesce(lettered(F.col(text)), F.lit(False)))
+    marked = identify(documents, network, text, names=names)
     return marked.where(F.col(names[0]) != UNKNOWN).select(*documents.columns)
 
 
