@@ -7,8 +7,9 @@ which leaves little padding. Every worker packs on its own; full bins never leav
 pieces of its unfinished bins, a bounded number, are packed again in groups of workers, round by
 round, until one group is left, whose last few pieces go first-fit into what remains.
 
-Defined results: a NULL text counts as empty; an empty text is its end token alone; repeated rows
-are packed each on its own; an empty table gives no rows; other columns are ignored.
+Defined results: a NULL text counts as empty; an empty text is its end token alone; the name of a special token
+inside a text is that token, as the tokenizer has it when loaded; repeated rows are packed each on its own; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,15 +41,17 @@ class Encoder:
 
     The tokenizer splits in front of a space that follows a non-space, so the parts of a text
     between such spaces are encoded on their own and remembered. A text with white space before
-    a space is encoded whole.
+    a space is encoded whole, and so is one that spells a special token, which becomes that token's id.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.as_loaded = Tokenizer.from_file(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.special = [token.content.encode() for token in self.as_loaded.get_added_tokens_decoder().values()]
         self.words: dict[bytes, bytes | None] = {}
         space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0][0]
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -99,6 +102,10 @@ class Encoder:
         heads = [parts[0].decode() for parts in split]
         out = []
         for text, parts, head, start in zip(texts, split, heads, self._encode(heads)):
+            if any(token in text for token in self.special):
+                ids = self.as_loaded.encode(text.decode(), add_special_tokens=False).ids
+                out.append(np.array(ids, "<u4").tobytes())
+                continue
             try:
                 if len(parts) > 1 and head and head[-1].isspace():
                     raise TypeError
