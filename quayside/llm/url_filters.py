@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quayside.llm.common import stored, table
 
@@ -35,8 +36,12 @@ def host(url: Column) -> Column:
     return F.when(name != "", name)
 
 
-def patterns(url: Column) -> Column:
-    """All patterns a URL falls under, with their path segments and labels."""
+def patterns(url: Column, deepest: int, longest: int) -> Column:
+    """Patterns a URL falls under, with their path segments and labels.
+
+    No more segments than ``deepest`` and no more labels than ``longest``: longer ones are on no list, and
+    a URL of very many segments would have a pattern for each.
+    """
     name = host(url)
     labels = F.split(name, "[.]")
     segments = F.filter(F.split(F.regexp_extract(url, _PATH, 1), "/"), lambda s: s != "")
@@ -50,8 +55,8 @@ def patterns(url: Column) -> Column:
         )
 
     each = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda n: F.transform(F.sequence(F.lit(0), F.size(segments)), lambda m: below(n, m)),
+        F.slice(F.sequence(F.lit(1), F.size(labels)), 1, longest),
+        lambda n: F.transform(F.slice(F.sequence(F.lit(0), F.size(segments)), 1, deepest + 1), lambda m: below(n, m)),
     )
     return F.when(name.isNotNull(), F.flatten(each))
 
@@ -69,14 +74,29 @@ def validity(changes: DataFrame) -> DataFrame:
     )
 
 
+def _utc_day(moment: Column, kind: T.DataType) -> Column:
+    """Day of a fetch time in UTC; one without a zone is taken as it stands."""
+    if isinstance(kind, T.TimestampType):
+        return F.date_from_unix_date(F.floor(F.unix_seconds(moment) / 86400).cast("int"))
+    return moment.cast("date")
+
+
 def evaluate(captures: DataFrame, changes: DataFrame) -> DataFrame:
-    """Every capture (page_id, url, fetched_at) with decision, pattern and listed_on, kept or not."""
+    """Every capture (page_id, url, fetched_at) with decision, pattern and listed_on, kept or not.
+
+    Lists change at midnight UTC, whatever the session's zone.
+    """
+    domain = F.substring_index("pattern", "/", 1)
+    deepest, longest = changes.agg(
+        F.max(F.size(F.split("pattern", "/")) - 1), F.max(F.size(F.split(domain, "[.]")))).first()
     rows = stored(captures.select(
         F.monotonically_increasing_id().alias("row_id"), "page_id", "url", "fetched_at"
     ), "captures")
+    day = _utc_day(F.col("fetched_at"), captures.schema["fetched_at"].dataType)
     asked = rows.where("fetched_at IS NOT NULL").select(
-        "row_id", "fetched_at", F.trunc("fetched_at", "month").alias("month"), F.explode(patterns(F.col("url"))).alias("p")
-    ).select("row_id", "fetched_at", "month", "p.*")
+        "row_id", day.alias("day"), F.trunc(day, "month").alias("month"),
+        F.explode(patterns(F.col("url"), deepest or 0, longest or 0)).alias("p")
+    ).select("row_id", "day", "month", "p.*")
     months = asked.select("pattern", "month").distinct()
     lists = validity(changes)
     entries = lists.join(months, "pattern").where(
@@ -86,8 +106,7 @@ def evaluate(captures: DataFrame, changes: DataFrame) -> DataFrame:
     # Stored, so that the join below is between plain shuffles and a hot domain can be split.
     entries = stored(entries.select("pattern", "month", "action", "valid_from", "valid_to"), "list-months")
     active = asked.join(entries, ["pattern", "month"]).where(
-        (F.col("fetched_at") >= F.col("valid_from"))
-        & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
+        (F.col("day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to")))
     )
     rank = F.struct("segments", "labels", (F.col("action") == ALLOW).alias("allow"), "action", "pattern", "valid_from")
     decided = active.groupBy("row_id").agg(F.max(rank).alias("best"))
