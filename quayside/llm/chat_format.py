@@ -99,7 +99,11 @@ def format_conversations(
             F.length(t["body"]).cast("bigint").alias("length"), t["escaped"].alias("escaped"),
         )).alias("spans"),
         source.alias("source"),
-    ).select("conv_id", "formatted", "spans", (parse(F.col("formatted")) == F.col("source")).alias("identical"))
+    ).withColumn("identical", parse(F.col("formatted")) == F.col("source")).select(
+        "conv_id",
+        F.when(F.col("identical"), F.col("formatted")).otherwise(
+            F.raise_error(F.lit("a conversation does not read back as it was")).cast("string")).alias("formatted"),
+        "spans", "identical")
 
 
 def learned_text(formatted: Column, spans: Column) -> Column:
