@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from quayside.llm import (
     chat_format, class_lm, decontamination, exact_dedup, jaccard_join, language_id, packing, sharding, substring_dedup,
@@ -105,6 +106,19 @@ def test_class_probabilities_add_up(odd):
     assert (10**model.transitions).sum(axis=1) == pytest.approx(1)
 
 
+def test_coarse_class_pairs_need_no_further_pass(odd):
+    texts = odd.select("text")
+    words, _ = class_lm._dictionary(class_lm.word_counts(texts), 500)
+    top = min(12, len(words) - 3)
+    kinds = np.full(len(words) + 2, top)
+    kinds[:top], kinds[len(words)] = np.arange(top), top + 1
+    classes = np.full(len(words) + 2, class_lm.CLASSES)
+    classes[:top], classes[len(words)] = np.arange(top) % 5, class_lm.CLASSES + 1
+    numbered = class_lm._pair_counts(texts, words, kinds.tolist(), top + 2)
+    grouped = class_lm._grouped_pairs(numbered, np.append(classes[:top], (class_lm.CLASSES, class_lm.CLASSES + 1)))
+    assert (grouped == class_lm._class_pairs(texts, words, classes)).all() and grouped.sum() > 100
+
+
 def test_chat(spark, table):
     marks = "\\### Assistant: </turn> ok ### x <\\/turn> #\\## \\\\"
     rows = [(1, 0, "user", marks), (1, 1, "assistant", marks), (1, 1, "assistant", marks), (2, 0, None, None),
@@ -134,10 +148,19 @@ def test_language(odd, nothing):
     kept = language_id.in_some_language(odd)
     assert kept.columns == odd.columns and ids(kept.collect()) == sorted([None, 4, 5, 6, 7, 7, 9], key=str)
     assert language_id.fit(nothing) is None
+    unlabelled = language_id.in_some_language(odd.withColumn("lang", F.lit(None).cast("string")))
+    assert unlabelled.columns == odd.columns and ids(unlabelled.collect()) == sorted([None, 4, 5, 6, 7, 7, 9], key=str)
     assert {r.lang_pred for r in language_id.identify(odd, None, keep=["doc_id"]).collect()} == {"und"}
     assert language_id.in_some_language(nothing).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    labels = [f"l{i:03}" for i in range(230)]
+    documents = spark.createDataFrame([(i, f"{name} text", name) for i, name in enumerate(labels * 6)], "doc_id long, text string, lang string")
+    languages, windows, numbers = language_id.sample(documents)
+    assert languages == labels and set(numbers.tolist()) == set(range(230)) and len(windows) == len(numbers)
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(3)
     network = language_id.untrained(["a", "b", "c"], 1)
@@ -169,11 +192,13 @@ def test_packing(odd, nothing):
 
 def test_encoder_agrees_with_the_tokenizer():
     encoder, rng = packing.Encoder(TOKENS), random.Random(1)
+    loaded = Tokenizer.from_file(TOKENS)
+    assert loaded.encode("a <|endoftext|> b", add_special_tokens=False).ids.count(50256) == 1
     parts = [*" \n\t\r\x0b\x0c\x1c\x85\xa0 　ab's\xe91,!<|>中\U0001f642\x00", "<|endoftext|>", "  ", " a", "'re "]
     for _ in range(100):
         texts = ["".join(rng.choices(parts, k=rng.randrange(60))).encode() for _ in range(20)]
         for text, ids in zip(texts, encoder.encode(texts)):
-            assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+            assert np.frombuffer(ids, "<u4").tolist() == loaded.encode(text.decode(), add_special_tokens=False).ids
 
 
 def test_exact(odd, nothing):
@@ -230,20 +255,60 @@ def test_decontamination(odd, nothing, benchmark):
     found = {r.doc_id: r for r in rows}
     assert found[1].n_words == found[2].n_words == found[3].n_words == 0
     hit = {i: {m.item_id for m in r.matches} for i, r in found.items()}
-    assert hit[5] == hit[6] == hit[7] == {"1"} and hit[None] == {"1"}
-    assert not any(hit[i] for i in (1, 2, 3, 4, 8, 9))
+    assert hit[5] == hit[6] == hit[7] == {"1"} and hit[None] == {"1"} and hit[9] == {None}
+    assert not any(hit[i] for i in (1, 2, 3, 4, 8))
+    for r in decontamination.benchmark_hits(odd.select("doc_id", "text"), benchmark).collect():
+        words = sorted({w for m in found[r.doc_id].matches for w in range(m.start, m.start + m.length)})
+        assert [w for s in r.stretches for w in range(s.start, s.end)] == words and r.n_words == found[r.doc_id].n_words
+        assert set(r["items"]) == hit[r.doc_id] and len(r["items"]) == len(hit[r.doc_id])
     match = found[5].matches[0]
     assert (match.start, match.item_start, match.length) == (10, 0, 20)
     kept = decontamination.decontaminated(odd, benchmark)
-    assert kept.columns == odd.columns and ids(kept.collect()) == [1, 2, 3, 4, 8, 9]
+    assert kept.columns == odd.columns and ids(kept.collect()) == [1, 2, 3, 4, 8]
     assert decontamination.decontaminated(nothing, benchmark).count() == 0
     assert decontamination.decontaminated(odd, benchmark.limit(0)).count() == len(ROWS)
 
 
+def test_shared_prompts_do_not_multiply(spark):
+    """Every item and every document have the same ten words: 400 x 400 items named, one stretch a document."""
+    prompt = " ".join(f"q{i}" for i in range(10))
+    items = spark.createDataFrame([(i, f"{prompt} x{i}") for i in range(400)], "item_id long, text string")
+    documents = spark.createDataFrame([(i, f"a {prompt} b") for i in range(400)], "doc_id long, text string")
+    rows = decontamination.benchmark_hits(documents, items).collect()
+    assert all([tuple(s) for s in r.stretches] == [(1, 11)] and len(r["items"]) == 400 for r in rows) and len(rows) == 400
+    assert decontamination.decontaminated(documents, items).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_hits_of_random_texts(seed):
+    """Stretches and items against every window, items of fewer words than a window among them."""
+    rng = random.Random(seed)
+
+    def text(longest):
+        return [rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randrange(longest))]
+
+    items = [(str(i) if i else None, b" ".join(text(9))) for i in range(12)]
+    documents = [text(40) for _ in range(30)]
+    index = decontamination.Benchmark(items, 4)
+    for document, (stretches, names) in zip(documents, index.hits(documents)):
+        hit, found = set(), set()
+        for name, item in items:
+            words = item.split()
+            for i in range(max(1, len(words) - 3) if words else 0):
+                window = words[i : i + 4]
+                for at in range(len(document) - len(window) + 1):
+                    if document[at : at + len(window)] == window:
+                        hit |= set(range(at, at + len(window)))
+                        found.add(name)
+        assert {w for s, e in stretches for w in range(s, e)} == hit and set(names) == found and len(names) == len(found)
+
+
 def test_large_benchmarks_go_block_by_block(odd, benchmark, monkeypatch):
+    hits = sorted(map(str, decontamination.benchmark_hits(odd.select("doc_id", "text"), benchmark).collect()))
     whole = decontamination.benchmark_matches(odd.select("doc_id", "text"), benchmark, keep=["doc_id"]).collect()
     monkeypatch.setattr(decontamination, "BENCHMARK_BYTES", 60)
     blocks = decontamination.benchmark_matches(odd.select("doc_id", "text"), benchmark, keep=["doc_id"]).collect()
+    assert hits == sorted(map(str, decontamination.benchmark_hits(odd.select("doc_id", "text"), benchmark).collect()))
 
     def plain(rows):
         return sorted(((str(r.doc_id), r.n_words, sorted(map(tuple, r.matches))) for r in rows), key=str)
@@ -275,6 +340,25 @@ def test_url_lists(spark, table):
     assert {r.decision for r in url_filters.evaluate(captures, changes.limit(0)).collect()} == {"none"}
 
 
+def test_long_urls_and_other_zones(spark):
+    """A pattern per listed depth only; days are those of UTC."""
+    long = "https://a.b.example.org/" + "/".join("x" * 1 for _ in range(6000))
+    captures = spark.createDataFrame([(0, long), (1, "https://example.org/x/x/y")], "page_id long, url string").withColumn(
+        "fetched_at", F.timestamp_seconds(F.lit(1709510400 - 60)))  # one minute before 2024-03-04 in UTC
+    changes = spark.sql("""SELECT pattern, 'block' AS action, to_date(day) AS day, listed FROM VALUES
+        ('example.org/x/x', '2024-03-03', true), ('example.org/x/x', '2024-03-04', false), ('b.example.org', '2024-03-04', true)
+        AS t(pattern, day, listed)""")
+    found = captures.select(F.size(url_filters.patterns(F.col("url"), 2, 3)).alias("n")).collect()
+    assert [r.n for r in found] == [9, 6]
+    for zone in ("UTC", "Asia/Tokyo", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            rows = url_filters.evaluate(captures, changes).collect()
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        assert {r.page_id: (r.decision, r.pattern) for r in rows} == dict.fromkeys((0, 1), ("block", "example.org/x/x"))
+
+
 def test_components(table):
     links = table("a long, b long", (1, 2), (2, 3), (9, 8), (8, 9), (5, 5), (3, 1), *[(100 + i, 101 + i) for i in range(30)])
     found = {r.node: r.component for r in connected_components(links).collect()}
@@ -298,6 +382,18 @@ def test_every_pair_above_the_threshold_shares_a_signature():
             assert np.intersect1d(signs[owners == 0], signs[owners == 1]).size
 
 
+def test_repeated_values_are_counted():
+    rng = np.random.default_rng(4)
+    for size in (0, 1, 3, 50, 400):
+        values = rng.integers(0, 60, size).astype(np.uint64)
+        found, counts = np.unique(values, return_counts=True)
+        often, times = jaccard_join.repeated(values.copy(), 4)
+        assert often.tolist() == found[counts >= 4].tolist() and times.tolist() == counts[counts >= 4].tolist()
+    known = np.array([-5, 0, 7], np.int64)
+    assert jaccard_join._among(np.array([7, 8, -5, -9], np.int64), known).tolist() == [True, False, True, False]
+    assert not jaccard_join._among(np.array([1], np.int64), known[:0]).any()
+
+
 def test_stars_do_not_depend_on_batches():
     rng = np.random.default_rng(1)
     key, ids = np.sort(rng.integers(0, 40, 300)), rng.integers(0, 50, 300)
