@@ -323,9 +323,10 @@ def train(texts: DataFrame, limit: int = DICTIONARY, clustered: int = CLUSTERED)
     classes = np.full(len(words) + 2, CLASSES)
     classes[len(words)] = CLASSES + 1
     if top:
-        classes[:top] = cluster(stored(_pair_counts(texts, words[:], kinds.tolist(), top + 2), "pairs"), top)
-        coarse = classes.copy()
-        pairs = _class_pairs(texts, words, coarse)
+        numbered = stored(_pair_counts(texts, words[:], kinds.tolist(), top + 2), "pairs")
+        classes[:top] = cluster(numbered, top)
+        # Words without a class of their own are one kind there already.
+        pairs = _grouped_pairs(numbered, np.append(classes[:top], (CLASSES, CLASSES + 1)))
         rest = _placed(_neighbours(texts, words, classes[:top].tolist()), pairs).toArrow()
         classes[rest["number"].to_numpy()] = rest["class"].to_numpy()
     pairs = _class_pairs(texts, words, classes)
@@ -341,6 +342,17 @@ def train(texts: DataFrame, limit: int = DICTIONARY, clustered: int = CLUSTERED)
     return model, vocabulary
 
 
+def _grouped_pairs(pairs: DataFrame, classes: np.ndarray) -> np.ndarray:
+    """Counts of class pairs from those of kinds; ``classes`` has one of each kind."""
+    rows = pa.table({"kind": np.arange(len(classes), dtype=np.int32), "class": classes.astype(np.int32)})
+    named = F.broadcast(pairs.sparkSession.createDataFrame(rows))  # one row per clustered word
+    found = pairs.join(named.toDF("a", "before"), "a").join(named.toDF("b", "after"), "b").groupBy("before", "after").agg(
+        F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((CLASSES + 2, CLASSES + 2))
+    counts[found["before"].to_numpy(), found["after"].to_numpy()] = found["n"].to_numpy()
+    return counts
+
+
 def _class_pairs(texts: DataFrame, words: list[bytes], classes: np.ndarray) -> np.ndarray:
     kinds = CLASSES + 2
     found = _pair_counts(texts, words, classes.tolist(), kinds).toArrow()
