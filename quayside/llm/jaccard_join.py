@@ -47,6 +47,7 @@ SMALL = 256
 HOT_IN_BLOCK = 8
 BINS = 64
 SENT_IDS = 1 << 20
+READ_BYTES = 2 << 20
 FREQUENT_SEEDS = 2  # seeds under which frequent shingles are left out
 FREQUENT_SHARE, FREQUENT_IN_STRETCH, FREQUENT_MOST = 1 / 4096, 4, 1 << 16
 STRETCH_SHINGLES = 4_000_000
@@ -181,6 +182,13 @@ def signatures(sets: list[np.ndarray], bands: Bands, frequent=np.zeros(0, np.uin
     return np.concatenate(out), np.concatenate(owners)
 
 
+def repeated(values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values that occur at least so often, and how often; sorts them where they are."""
+    values.sort()
+    often = np.unique(values[least - 1 :][values[least - 1 :] == values[: len(values) - least + 1]])
+    return often, np.searchsorted(values, often, "right") - np.searchsorted(values, often)
+
+
 def frequent_shingles(documents: DataFrame) -> np.ndarray:
     """Shingles of a noticeable share of all documents, the most frequent ones if they are many.
 
@@ -189,21 +197,23 @@ def frequent_shingles(documents: DataFrame) -> np.ndarray:
     """
 
     def run(batches):
-        held, count = [], 0
+        held, count = np.empty(STRETCH_SHINGLES, np.uint64), 0
 
         def out():
-            shingles, found = np.unique(np.concatenate(held), return_counts=True)
-            use = found >= FREQUENT_IN_STRETCH
-            return pa.RecordBatch.from_arrays([pa.array(shingles[use].view(np.int64)), pa.array(found[use])], ["shingle", "n"])
+            shingles, found = repeated(held[:count], FREQUENT_IN_STRETCH)
+            return pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(found)], ["shingle", "n"])
 
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", READ_BYTES):
             unique = {t: None for t in texts_of(block.column("text")) if t}
-            held += shingle_sets([words_of(t) for t in unique])
-            count = sum(map(len, held)) if held else 0
-            if count > STRETCH_SHINGLES:
-                yield out()
-                held = []
-        if held:
+            for one in shingle_sets([words_of(t) for t in unique]):
+                if count and count + len(one) > len(held):
+                    yield out()
+                    count = 0
+                if len(one) > len(held):
+                    held = np.empty(len(one), np.uint64)
+                held[count : count + len(one)] = one
+                count += len(one)
+        if count:
             yield out()
 
     least = documents.count() * FREQUENT_SHARE
@@ -294,7 +304,7 @@ def set_rows(documents: DataFrame, seed: int) -> DataFrame:
     """doc_id, id and control number of the word sequence, shingles, and counts by bin."""
 
     def run(batches):
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", READ_BYTES):
             documents = [words_of(text) for text in texts_of(block.column("text"))]
             sets = shingle_sets(documents)
             yield pa.RecordBatch.from_arrays([
@@ -344,19 +354,26 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return rows.select("center", "id", "n_a", "n_b", "a", "b").mapInArrow(run, "center bigint, id bigint")
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def _texts(documents: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
     """id and words of every set that ``pairs`` names."""
     spark = documents.sparkSession
     needed = stored(pairs.select("id").union(pairs.select("center")).distinct(), "needed")
     sent = None
     if needed.count() <= SENT_IDS:  # at most 8 MB; otherwise the join alone picks the texts
-        sent = spark.sparkContext.broadcast(sorted(r["id"] for r in needed.collect()))
+        sent = spark.sparkContext.broadcast(np.sort(needed.toArrow()["id"].to_numpy()))
 
     def run(batches):
-        wanted = None if sent is None else set(sent.value)
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", READ_BYTES):
             unique = {set_id(w, seed): w for w in map(words_of, texts_of(block.column("text"))) if w}
-            found = {i: b" ".join(w) for i, w in unique.items() if wanted is None or i in wanted}
+            wanted = np.ones(len(unique), bool) if sent is None else _among(np.array(list(unique), np.int64), sent.value)
+            found = {i: b" ".join(w) for (i, w), use in zip(unique.items(), wanted.tolist()) if use}
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["id", "words"]
             )
