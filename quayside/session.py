@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+_SCOPE: ContextVar[str | None] = ContextVar("quayside_scratch", default=None)
 
 
 def local_session(app: str = "quayside", cpus: int | str = "*") -> SparkSession:
@@ -31,8 +35,12 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
 
     Intermediate tables written here outlive the executors that made them. Without that
     setting a temporary folder is used in local mode only: on a cluster a machine-local
-    folder would not be visible to the other executors.
+    folder would not be visible to the other executors. Inside :func:`scratch_scope` it lies below that
+    scope's folder.
     """
+    root = _SCOPE.get()
+    if root:
+        return f"{root}/{purpose}-{uuid.uuid4().hex}"
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext
@@ -46,6 +54,22 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[str]:
+    """All intermediate tables made inside lie in one folder, whose path is given and which goes at the end.
+
+    Results read from there as they are computed, so they are written to their own place before the scope ends.
+    """
+    folder = scratch_folder(spark, "scope")
+    outer = _SCOPE.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCOPE.reset(outer)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(rows: DataFrame, purpose: str) -> DataFrame:
     """Rows written to the shared scratch folder and read back from there."""
     path = scratch_folder(rows.sparkSession, purpose)

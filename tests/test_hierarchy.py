@@ -306,3 +306,22 @@ def test_changes_of_random_versions(table, seed):
                    for r in rows if r.change != "removed") == come
     lines = Counter(k[:2] for k in gone.elements()), Counter(k[:2] for k in come.elements())
     assert Counter((r.parent_code, r.component_code) for r in rows if r.change == "changed") == lines[0] & lines[1]
+
+
+def test_intermediate_tables_go_with_their_scope(table, spark, tmp_path):
+    from pathlib import Path
+
+    from quayside.session import scratch_scope
+
+    graph = edges(table, ("R", "A", 2), ("A", "B", 3))
+    with scratch_scope(spark) as folder:
+        bom.material_requirements(graph, "R").write.parquet(str(tmp_path / "kept"))
+        with scratch_scope(spark) as inner:
+            hierarchy.low_level_codes(graph).collect()
+            assert inner.startswith(folder) and any(Path(inner).iterdir())
+        assert not Path(inner).exists() and any(Path(folder).iterdir())
+    assert not Path(folder).exists()
+    assert spark.read.parquet(str(tmp_path / "kept")).count() == 2
+    with pytest.raises(ValueError), scratch_scope(spark) as folder:
+        bom.explode_bom(graph, "R", max_depth=0)
+    assert not Path(folder).exists()
