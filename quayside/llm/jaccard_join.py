@@ -29,7 +29,7 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +70,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 def word_hashes(documents: list[list[bytes]]) -> np.ndarray:
     digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w) for words in documents for w in words), np.uint64, sum(map(len, documents)))
+    return np.fromiter(map(digest, chain.from_iterable(documents)), np.uint64, sum(map(len, documents)))
 
 
 def rolled(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -189,36 +189,30 @@ def repeated(values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return often, np.searchsorted(values, often, "right") - np.searchsorted(values, often)
 
 
-def frequent_shingles(documents: DataFrame) -> np.ndarray:
-    """Shingles of a noticeable share of all documents, the most frequent ones if they are many.
+class _Stretch:
+    """Shingles of the sets of a task; reports those that several sets of a stretch have."""
 
-    A task counts stretch by stretch and reports what several documents of a stretch have; the
-    reports are added up.
-    """
-
-    def run(batches):
-        held, count = np.empty(STRETCH_SHINGLES, np.uint64), 0
-
-        def out():
-            shingles, found = repeated(held[:count], FREQUENT_IN_STRETCH)
-            return pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(found)], ["shingle", "n"])
-
-        for block in blocks(batches, "text", READ_BYTES):
-            unique = {t: None for t in texts_of(block.column("text")) if t}
-            for one in shingle_sets([words_of(t) for t in unique]):
-                if count and count + len(one) > len(held):
-                    yield out()
-                    count = 0
-                if len(one) > len(held):
-                    held = np.empty(len(one), np.uint64)
-                held[count : count + len(one)] = one
-                count += len(one)
-        if count:
-            yield out()
-
-    least = documents.count() * FREQUENT_SHARE
-    found = documents.mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = found.where(F.col("n") >= least).orderBy(F.desc("n"), "shingle").limit(FREQUENT_MOST).toArrow()
+    def __init__(self):
+        self.held, self.count = np.empty(STRETCH_SHINGLES, np.uint64), 0
+
+    def add(self, one: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.count and self.count + len(one) > len(self.held):
+            yield self.report()
+        if len(one) > len(self.held):
+            self.held = np.empty(len(one), np.uint64)
+        self.held[self.count : self.count + len(one)] = one
+        self.count += len(one)
+
+    def report(self) -> tuple[np.ndarray, np.ndarray]:
+        found = repeated(self.held[: self.count], FREQUENT_IN_STRETCH)
+        self.count = 0
+        return found
+
+
+def frequent_shingles(reports: DataFrame, documents: int) -> np.ndarray:
+    """Shingles of a noticeable share of all documents, the most frequent ones if they are many, from all reports."""
+    found = reports.groupBy("shingle").agg(F.sum("times").alias("n"))
+    top = found.where(F.col("n") >= documents * FREQUENT_SHARE).orderBy(F.desc("n"), "shingle").limit(FREQUENT_MOST).toArrow()
     return np.sort(top["shingle"].to_numpy().view(np.uint64))
 
 
@@ -301,26 +295,45 @@ def _sketch(one: np.ndarray) -> bytes:
 
 
 def set_rows(documents: DataFrame, seed: int) -> DataFrame:
-    """doc_id, id and control number of the word sequence, shingles, and counts by bin."""
+    """doc_id, id and control number of the word sequence, shingles, and counts by bin.
+
+    Beside these rows (``shingle`` NULL), reports of shingles that several sets of a task have: one pass makes both.
+    """
+    names = ["doc_id", "id", "control", "n", "sketch", "shingle", "times"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
 
     def run(batches):
+        stretch, first = _Stretch(), None
+
+        def reported(shingles, times):
+            nothing = [pa.nulls(len(shingles), kind) for kind in (first, *kinds[:4])]
+            return pa.RecordBatch.from_arrays([*nothing, pa.array(shingles.view(np.int64)), pa.array(times.astype(np.int64))], names)
+
         for block in blocks(batches, "text", READ_BYTES):
+            first = block.schema.field("doc_id").type
             documents = [words_of(text) for text in texts_of(block.column("text"))]
             sets = shingle_sets(documents)
+            ids = [set_id(w, seed) if w else None for w in documents]
             yield pa.RecordBatch.from_arrays([
-                block.column("doc_id"),
-                pa.array([set_id(w, seed) if w else None for w in documents], pa.int64()),
+                block.column("doc_id"), pa.array(ids, pa.int64()),
                 pa.array([set_id(w, ~seed & 0xFFFFFFFF) if w else None for w in documents], pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([_sketch(s) if len(s) else None for s in sets], pa.binary()),
-            ], ["doc_id", "id", "control", "n", "sketch"])
+                *(pa.nulls(len(sets), kind) for kind in kinds[4:]),
+            ], names)
+            for one in {i: s for i, s in zip(ids, sets) if i is not None}.values():
+                for found in stretch.add(one):
+                    yield reported(*found)
+        if stretch.count:
+            yield reported(*stretch.report())
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.mapInArrow(run, f"doc_id {kind}, id bigint, control bigint, n bigint, sketch binary")
+    return documents.mapInArrow(
+        run, f"doc_id {kind}, id bigint, control bigint, n bigint, sketch binary, shingle bigint, times bigint")
 
 
-def signature_rows(documents: DataFrame, seed: int, percent: int) -> DataFrame:
-    sent = documents.sparkSession.sparkContext.broadcast(frequent_shingles(documents))
+def signature_rows(documents: DataFrame, seed: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    sent = documents.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
         bands = Bands(percent)
@@ -503,9 +516,9 @@ def _other_pairs(members: DataFrame, components: DataFrame, classes: DataFrame,
     return between.unionByName(within).distinct()
 
 
-def linked_sets(documents: DataFrame, seed: int, classes: DataFrame, percent: int) -> DataFrame:
+def linked_sets(documents: DataFrame, seed: int, classes: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
     """node and component of every set id that has a link."""
-    rows = signature_rows(documents, seed, percent)
+    rows = signature_rows(documents, seed, percent, frequent)
     stars = stored(
         rows.repartition("key").sortWithinPartitions("key", "id")
         .mapInArrow(star_rows, "bucket bigint, center bigint, id bigint"), "stars",
@@ -542,7 +555,8 @@ def _jaccard_components(documents: DataFrame, id_column: str, text_column: str,
     rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     seed = 0
     while True:
-        sets = stored(set_rows(rows, seed), "sets")
+        found = stored(set_rows(rows, seed), "sets")
+        sets = found.where("shingle IS NULL").drop("shingle", "times")
         classes = stored(sets.where("id IS NOT NULL").groupBy("id").agg(
             F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"),
             F.max("sketch").alias("sketch"), F.min("control").alias("low"), F.max("control").alias("high"),
@@ -550,7 +564,8 @@ def _jaccard_components(documents: DataFrame, id_column: str, text_column: str,
         if classes.where("low <> high").isEmpty():
             break
         seed += 1  # two word sequences with one number: number them anew
-    components = linked_sets(rows, seed, classes, percent)
+    frequent = frequent_shingles(found.where("shingle IS NOT NULL"), sets.count())
+    components = linked_sets(rows, seed, classes, percent, frequent)
     merged = stored(with_component(classes.select("id", "first_doc", "rows"), components, "id", "component"), "merged")
     stays = F.min(F.struct(F.col("first_doc").isNull(), "first_doc", "id"))
     least = stored(merged.groupBy("component").agg(stays.alias("stays"), F.sum("rows").alias("rows")).where(
