@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from quayside.session import stored
 
 __all__ = [
-    "BLOCK_BYTES", "LOWER", "blocks", "free_name", "id_remainder", "stored", "table", "texts_of", "without_rows",
+    "BLOCK_BYTES", "LOWER", "blocks", "free_name", "id_remainder", "kept", "stored", "table", "texts_of", "without_rows",
 ]
 
 BLOCK_BYTES = 4 << 20
@@ -35,8 +36,21 @@ def texts_of(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES):
-    """Slices of the batches with about ``limit`` bytes of text, so memory does not follow batch size."""
+def kept(name: str, make: Callable[[], object]):
+    """What a Python worker keeps between tasks, until it works on something else (see ``blocks``)."""
+    own = sys.__dict__.setdefault("_quayside_kept", {})
+    if name not in own:
+        own[name] = make()
+    return own[name]
+
+
+def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES, keep: bool = False):
+    """Slices of the batches with about ``limit`` bytes of text, so memory does not follow batch size.
+
+    What the worker has kept from tasks of another kind is let go, unless ``keep`` says that it is of use here.
+    """
+    if not keep:
+        sys.__dict__.pop("_quayside_kept", None)
     for batch in batches:
         lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
         start = size = 0

@@ -279,7 +279,7 @@ def star_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if made is not None and len(made[0]):
             held.append(made)
             count += len(made[0])
-        if count > 500_000:
+        if count > 200_000:
             yield out()
             held, count = [], 0
     made = stars.add(none, none, none, last=True)
@@ -337,7 +337,7 @@ def signature_rows(documents: DataFrame, seed: int, percent: int, frequent: np.n
 
     def run(batches):
         bands = Bands(percent)
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", READ_BYTES):
             unique = {set_id(w, seed): w for w in map(words_of, texts_of(block.column("text"))) if w}
             signs, owners = signatures(shingle_sets(list(unique.values())), bands, sent.value)
             if len(signs):

@@ -15,7 +15,6 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import os
-import sys
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import blocks, table, texts_of
+from quayside.llm.common import blocks, kept, table, texts_of
 from quayside.session import scratch_folder
 
 CAPACITY = 1024
@@ -44,26 +43,29 @@ class Encoder:
     a space is encoded whole, and so is one that spells a special token, which becomes that token's id.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.as_loaded = Tokenizer.from_file(path)
+        self.path, self.cached_words, self.as_loaded = path, cached_words, None
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.special = [token.content.encode() for token in self.as_loaded.get_added_tokens_decoder().values()]
+        self.special = [token.content.encode() for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[bytes, bytes | None] = {}
         space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0][0]
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(space)]] = True
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        """The Python worker's encoder for a file, kept between tasks."""
-        kept = sys.__dict__.setdefault("_quayside_encoders", {})
-        if path not in kept:
-            kept[path] = cls(path)
-        return kept[path]
+    def of(cls, path: str, cached_words: int = CACHED_WORDS) -> Encoder:
+        """The Python worker's encoder for a file, kept between tasks of packing."""
+        return kept(f"encoder of {path}, {cached_words}", lambda: cls(path, cached_words))
+
+    def _encode_special(self, text: str) -> bytes:
+        """Ids of a text with special tokens in it, by the tokenizer as loaded, which few tasks need."""
+        if self.as_loaded is None:
+            self.as_loaded = type(self.tokenizer).from_file(self.path)
+        return np.array(self.as_loaded.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -73,9 +75,10 @@ class Encoder:
 
         Many go in one text: exactly the first token of each begins with a space.
         """
-        found = {word: None for word in words if not word or word[-1:].isspace() or word[-1] < 32
-                 or word[-1] > 127 and word.decode()[-1].isspace()}
-        words = [word for word in words if word not in found]
+        odd = [word for word in words if not word or not 32 < word[-1] < 127]
+        found = {word: None for word in odd if not word or word[-1] < 33 or word[-1] > 127 and word.decode()[-1].isspace()}
+        if found:
+            words = [word for word in words if word not in found]
         for i in range(0, len(words), ENCODED_AT_ONCE):
             part = words[i : i + ENCODED_AT_ONCE]
             ids = self._encode([" " + b" ".join(part).decode()])[0]
@@ -93,18 +96,17 @@ class Encoder:
             new.update(parts[1:])
         new -= self.words.keys()
         found = self._encode_words(list(new))
-        if len(self.words) + len(found) <= CACHED_WORDS:
+        if len(self.words) + len(found) <= self.cached_words:
             self.words.update(found)
             known = self.words.__getitem__
         else:
-            self.words.update(list(found.items())[: CACHED_WORDS - len(self.words)])
+            self.words.update(list(found.items())[: self.cached_words - len(self.words)])
             known = (self.words | found).__getitem__
         heads = [parts[0].decode() for parts in split]
         out = []
         for text, parts, head, start in zip(texts, split, heads, self._encode(heads)):
             if any(token in text for token in self.special):
-                ids = self.as_loaded.encode(text.decode(), add_special_tokens=False).ids
-                out.append(np.array(ids, "<u4").tobytes())
+                out.append(self._encode_special(text.decode()))
                 continue
             try:
                 if len(parts) > 1 and head and head[-1].isspace():
@@ -190,12 +192,13 @@ def _id_lists(column: tuple[bytes, ...]) -> pa.ListArray:
 
 def pack(
     documents: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, slack: float = SLACK,
-    id_column="doc_id", text_column="text", with_ids: bool = True,
+    id_column="doc_id", text_column="text", with_ids: bool = True, cached_words: int = CACHED_WORDS,
 ) -> DataFrame:
     """One row per piece: its document, start and length there, ids, and place in a sequence.
 
     ``ids_crc32`` is the checksum of the ids as little-endian 32-bit numbers, ``padded_length`` what
-    the sequence is padded to: the capacity, or its own length where that is a power of two.
+    the sequence is padded to: the capacity, or its own length where that is a power of two. A worker keeps the
+    ids of ``cached_words`` words at most, about 200 bytes each; fewer cost more time.
     """
     spark = documents.sparkSession
     rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
@@ -210,10 +213,10 @@ def pack(
         return _batch([(*piece[:5], None, None, None, *piece[5:]) for piece in bins.left()], kinds, True)
 
     def first_round(batches):
-        encoder = Encoder.of(tokenizer)
+        encoder = Encoder.of(tokenizer, cached_words)
         bins, kinds = Bins(capacity, TaskContext.get().partitionId() << 40), None
         end = np.array([end_id], "<u4").tobytes()
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", keep=True):
             kinds, out = types(block), []
             encoded = encoder.encode([text or b"" for text in texts_of(block.column("text"))])
             for doc, ids in zip(block.column("doc_id").to_pylist(), encoded):

@@ -5,12 +5,13 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quayside.llm import (
-    chat_format, class_lm, decontamination, exact_dedup, jaccard_join, language_id, packing, sharding, substring_dedup,
+    chat_format, class_lm, common, decontamination, exact_dedup, jaccard_join, language_id, packing, sharding, substring_dedup,
     url_filters,
 )
 from quayside.llm.components import connected_components
@@ -190,6 +191,15 @@ def test_packing(odd, nothing):
     assert packing.pack(nothing, TOKENS).count() == 0
 
 
+def test_workers_let_go_of_what_other_tasks_kept():
+    batch = pa.RecordBatch.from_pydict({"text": ["a", None, "b" * 10]})
+    one = packing.Encoder.of(TOKENS)
+    assert packing.Encoder.of(TOKENS) is one
+    assert sum(b.num_rows for b in common.blocks([batch], "text", keep=True)) == 3 and packing.Encoder.of(TOKENS) is one
+    assert [b.num_rows for b in common.blocks([batch], "text", 5)] == [2, 1]
+    assert packing.Encoder.of(TOKENS) is not one
+
+
 def test_encoder_agrees_with_the_tokenizer():
     encoder, rng = packing.Encoder(TOKENS), random.Random(1)
     loaded = Tokenizer.from_file(TOKENS)
