@@ -36,7 +36,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path(TOKENIZER))
+    # A small cache of words: the executors still hold what the stages before needed.
+    return pack(docs, public_tokenizers.path(TOKENIZER), cached_words=250_000)
 
 
 STAGES = [
