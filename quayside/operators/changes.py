@@ -51,7 +51,7 @@ def touched_products(changes: DataFrame, before: Edges, after: Edges) -> DataFra
     changed = stored(changes.where(F.col("parent_code").isNotNull()).select(F.col("parent_code").alias("root_code")).distinct(), "changed")
     above = change_impact(both, changed)
     inner = both.rows.select(F.col("component_code").alias("root_code")).distinct().withColumn("inner", F.lit(True))
-    itself = changed.join(inner, "root_code", "left").select(
+    itself = changed.join(inner.hint("merge"), "root_code", "left").select(
         "root_code", F.col("root_code").alias("product_code"), F.lit(0).alias("level"), F.col("inner").isNull().alias("is_top"))
     # A product on a cycle contains itself; that adds nothing to its own row.
     above = above.where(F.col("root_code") != F.col("product_code"))

@@ -6,7 +6,8 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
-from quayside.operators import allocation, forecast
+from quayside import session
+from quayside.operators import allocation, bom, forecast
 from quayside.operators.skew import HotKeys
 from quayside.plans import reports
 from quayside.sources import erp, fixtures, layout
@@ -142,3 +143,18 @@ def test_buckets_of_items_join_without_an_exchange(laid_out, large_tables, witho
     rows = plan(forecast.forecast_base(small, "1998-05-20")).splitlines()
     keys = [row for row in rows if "Exchange hash" in row]
     assert len(keys) == 1 and "forecast_item_id" in keys[0]  # quantities are bucketed by item already
+
+
+def test_joins_of_the_hierarchy_do_not_go_by_the_size_of_files(stored):
+    tables = erp.bom_tables(stored(erp.BOM_EXTRACTS))
+    text = plan(bom.bom_edges(tables))
+    assert "BroadcastHashJoin" not in text
+    assert text.count("SortMergeJoin") == 2
+
+
+def test_only_a_frontier_counted_to_be_small_is_broadcast(stored, table):
+    edges = bom.bom_edges(erp.bom_tables(stored(erp.BOM_EXTRACTS)))
+    frontier = table("root_code string, component_code string", ("A", "B"))
+    small, large = (bom._next_edges(session.sized(frontier, rows), edges) for rows in (10_000, 10_001))
+    assert "BroadcastHashJoin" in plan(small)
+    assert "BroadcastHashJoin" not in plan(large)
