@@ -183,3 +183,17 @@ def test_endless_products(table):
     )
     assert {r.product_code for r in bom.endless_products(graph).collect()} == {"TOP", "A", "B"}
     assert bom.endless_products(edges(table, ("P", "Q", 1), ("Q", "X", 1))).count() == 0
+
+
+def test_recursive_walk_is_whole_beyond_the_row_limit_of_the_session(spark, table):
+    edges = table(
+        "parent_code string, component_code string, description string, component_type string, quantity double",
+        *[("A", f"B{i}", "", "", 1.0) for i in range(9)], *[(f"B{i}", "C", "", "", 1.0) for i in range(9)],
+    )
+    spark.conf.set(bom.ROW_LIMIT, 5)
+    try:
+        rows = bom.explode_bom_recursive(edges, "A")
+        assert spark.conf.get(bom.ROW_LIMIT) == "5"
+        assert rows.count() == bom.explode_bom(edges, "A").count() == 18
+    finally:
+        spark.conf.unset(bom.ROW_LIMIT)
