@@ -158,3 +158,20 @@ def test_only_a_frontier_counted_to_be_small_is_broadcast(stored, table):
     small, large = (bom._next_edges(session.sized(frontier, rows), edges) for rows in (10_000, 10_001))
     assert "BroadcastHashJoin" in plan(small)
     assert "BroadcastHashJoin" not in plan(large)
+
+
+@pytest.mark.parametrize("grain", ["period", "month", "spread"])
+def test_forecasts_move_by_product_once(stored, large_tables, grain):
+    tables = erp.forecast_tables(stored(erp.FORECAST_EXTRACTS))
+    dated = forecast.with_period_date(forecast.forecast_base(tables, "2024-01-01"))
+    rows = forecast.normalise_forecast(dated, "2024-06-15", grain=grain)
+    exchanges = [row for row in plan(rows).splitlines() if "Exchange" in row]
+    assert sum("hashpartitioning(product_id" in row for row in exchanges) == 1
+    assert not any("hashpartitioning(forecast_reference" in row for row in exchanges)
+
+
+def test_prices_are_joined_by_product_alone(stored, large_tables):
+    tables = erp.forecast_tables(stored(erp.FORECAST_EXTRACTS))
+    text = plan(reports.forecast_gap_rows(tables, "2024-01-01", "2024-06-15"))
+    assert "hashpartitioning(product_id#" in text
+    assert not any("price_band_id" in row for row in text.splitlines() if "SortMergeJoin" in row)
