@@ -41,6 +41,9 @@ class Encoder:
     The tokenizer splits in front of a space that follows a non-space, so the parts of a text
     between such spaces are encoded on their own and remembered. A text with white space before
     a space is encoded whole, and so is one that spells a special token, which becomes that token's id.
+
+    When half of the words to remember are new, the half before is let go, but for what was met since: rare
+    words make room, frequent ones stay.
     """
 
     def __init__(self, path: str, cached_words: int = CACHED_WORDS):
@@ -52,6 +55,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.special = [token.content.encode() for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[bytes, bytes | None] = {}
+        self.before: dict[bytes, bytes | None] = {}
         space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0][0]
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(space)]] = True
@@ -95,13 +99,10 @@ class Encoder:
         for parts in split:
             new.update(parts[1:])
         new -= self.words.keys()
-        found = self._encode_words(list(new))
-        if len(self.words) + len(found) <= self.cached_words:
-            self.words.update(found)
-            known = self.words.__getitem__
-        else:
-            self.words.update(list(found.items())[: self.cached_words - len(self.words)])
-            known = (self.words | found).__getitem__
+        again = new & self.before.keys()
+        self.words.update(zip(again, map(self.before.__getitem__, again)))
+        self.words.update(self._encode_words(list(new - again)))
+        known = self.words.__getitem__
         heads = [parts[0].decode() for parts in split]
         out = []
         for text, parts, head, start in zip(texts, split, heads, self._encode(heads)):
@@ -114,6 +115,8 @@ class Encoder:
                 out.append(start + b"".join(map(known, parts[1:])))
             except TypeError:
                 out.append(self._encode([text.decode()])[0])
+        if len(self.words) > self.cached_words // 2:
+            self.before, self.words = (self.words if len(self.words) <= self.cached_words else {}), {}
         return out
 
 
@@ -198,7 +201,7 @@ def pack(
 
     ``ids_crc32`` is the checksum of the ids as little-endian 32-bit numbers, ``padded_length`` what
     the sequence is padded to: the capacity, or its own length where that is a power of two. A worker keeps the
-    ids of ``cached_words`` words at most, about 200 bytes each; fewer cost more time.
+    ids of ``cached_words`` words and those of two blocks, about 200 bytes each; fewer cost more time.
     """
     spark = documents.sparkSession
     rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))

@@ -211,6 +211,18 @@ def test_encoder_agrees_with_the_tokenizer():
             assert np.frombuffer(ids, "<u4").tolist() == loaded.encode(text.decode(), add_special_tokens=False).ids
 
 
+def test_encoder_remembers_frequent_words_that_come_late(monkeypatch):
+    encoder, asked = packing.Encoder(TOKENS, cached_words=8), []
+    encode = encoder._encode_words
+    monkeypatch.setattr(encoder, "_encode_words", lambda words: asked.extend(words) or encode(words))
+    loaded = Tokenizer.from_file(TOKENS)
+    for number in range(40):
+        text = f"x rare{number} {'often' if number > 19 else 'early'}"
+        ids = encoder.encode([text.encode()])[0]
+        assert np.frombuffer(ids, "<u4").tolist() == loaded.encode(text, add_special_tokens=False).ids
+    assert asked.count(b"often") == 1 and len(encoder.words) + len(encoder.before) <= 12
+
+
 def test_exact(odd, nothing):
     rows = exact_dedup.exact_duplicates(odd).collect()
     assert ids(rows) == ALL
