@@ -106,6 +106,15 @@ def test_distinct_gaps_use_the_partitioning_of_the_join(stored, large_tables, wi
     assert not [row for row in rows[:join] if "Exchange" in row] and any("HashAggregate" in row for row in rows[:join])
 
 
+def test_forecast_items_keep_their_partitions(spark):
+    """They are small, but a dozen rows follow from each: merged into few tasks, those would have most of the work."""
+    items = fixtures.forecast(spark, "/root/testdata/sf0.001").items
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert plan(items).count("REPARTITION_BY_NUM") == 1 and "REPARTITION_BY_COL" not in plan(items)
+    items.write.format("noop").mode("overwrite").save()
+    assert items.rdd.getNumPartitions() == tasks
+
+
 def test_missing_references_take_one_anti_join(spark, large_tables):
     from quayside.operators import quality
 

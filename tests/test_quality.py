@@ -28,3 +28,24 @@ def test_keys_without_a_partner(table):
     whole = [(orders.where("id = 1"), [quality.Reference("self", ["id"], orders, ["id"])])]
     assert [tuple(r) for r in quality.reference_checks(whole).collect()] == [("self", 0, 0)]
     assert quality.missing_references([(lines.limit(0), tables[0][1])]).count() == 0
+
+
+def test_whole_numbers_are_compared_as_such(table):
+    lines = table("order_id long, line_number int", (1, 1), (1, 12), (11, 2), (None, 0), (0, None))
+    views = table("id int, number long", (1, 1), (None, 0), (0, None), (0, 0), (11, 2))
+    tables = [(lines, [quality.Reference("view", ["order_id", "line_number"], views, ["id", "number"]),
+                       quality.Reference("order", ["order_id"], views, ["id"])])]
+    rows = quality.missing_references(tables)
+    assert {(r.check_name, r.key): r.rows for r in rows.collect()} == {
+        ("view", "1/12"): 1, ("view", "?/0"): 1, ("view", "0/?"): 1, ("order", "?"): 1}
+    assert " as string)" not in rows._jdf.queryExecution().optimizedPlan().toString().split("Aggregate", 1)[1]
+
+
+def test_checks_of_one_name_and_other_kinds_share_their_partners(table):
+    first = table("id long, code string", (1, "a"), (2, "b/c"))
+    second = table("id string, code string", ("1", "a"), ("02", None))
+    tables = [(first, [quality.Reference("same", ["id"], first.where("id = 1"), ["id"]),
+                       quality.Reference("codes", ["code"], second, ["code"])]),
+              (second, [quality.Reference("same", ["id"], first.where("id = 1"), ["id"])])]
+    assert {(r.check_name, r.key): r.rows for r in quality.missing_references(tables).collect()} == {
+        ("same", "2"): 1, ("same", "02"): 1, ("codes", "b/c"): 1}
