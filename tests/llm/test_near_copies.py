@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quayside.llm import jaccard_join
@@ -42,3 +44,25 @@ def test_components_around_the_threshold(spark, monkeypatch, settings):
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5, "doc_id")
     found = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(rows).collect()}
     assert found == expected
+
+
+@pytest.mark.parametrize("size", [40, 300, 1200])
+def test_bits_rule_out_most_pairs_below_the_threshold_and_none_above(size):
+    """Sets that share two thirds are hardly ever compared whole; those that share four fifths always are."""
+    rng = np.random.default_rng(size)
+
+    def found(own):
+        """Pairs of sets of ``size`` shingles, ``own`` of them of each set alone, that are left to compare."""
+        sets = []
+        for _ in range(100):
+            pool = rng.integers(1, 1 << 63, size + own).astype(np.uint64)
+            sets += [np.sort(pool[:size]), np.sort(pool[own:])]
+        side = jaccard_join._sides(pa.table({
+            "id": pa.array(range(200), pa.int64()), "c": pa.array(range(200), pa.int64()), "n": pa.array([size] * 200, pa.int64()),
+            "sketch": pa.array([jaccard_join._sketch(one) for one in sets], pa.binary())}))
+        pairs = {tuple(sorted(p)) for p in jaccard_join._near(side, side, 80).tolist()}
+        assert all(a // 2 == b // 2 for a, b in pairs)
+        return len(pairs)
+
+    assert found(size // 10) == found(size // 9) == 100
+    assert found(size // 5) < 5
