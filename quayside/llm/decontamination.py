@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from quayside.llm.common import LOWER, blocks, free_name, stored, table, texts_of
 
 WINDOW = 10
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 BENCHMARK_BYTES = 8 << 20
 _WORD_BYTES = {*b"0123456789", *range(65, 91), *range(97, 123), *range(128, 256)}
 _WORDS = bytes(LOWER[b] if b in _WORD_BYTES else 32 for b in range(256))

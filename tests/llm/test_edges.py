@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -435,3 +436,19 @@ def test_stars_do_not_depend_on_batches():
     assert all(stars(size) == whole for size in (1, 2, 3, 7, 50))
     assert {(c, i) for _, c, i in whole} == {
         (ids[key == k].min(), i) for k in set(key.tolist()) for i in ids[key == k].tolist() if i != ids[key == k].min()}
+
+
+def test_a_shard_of_documents_takes_little_memory():
+    """12 MB of text, of which a shard's words and suffixes are held at a time."""
+    rng = np.random.default_rng(3)
+    vocabulary = np.array([f"word{i}" for i in range(2000)])
+    texts = [" ".join(vocabulary[rng.integers(0, 2000, 2000)]) for _ in range(700)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    benchmark = decontamination.Benchmark([("a", texts[5].encode()[:4000])], decontamination.WINDOW)
+    tracemalloc.start()
+    try:
+        hits = [bool(spans) for _, documents in decontamination._shards(iter([batch]), "text") for spans, _ in benchmark.hits(documents)]
+        assert tracemalloc.get_traced_memory()[1] < 70 << 20
+    finally:
+        tracemalloc.stop()
+    assert np.flatnonzero(hits).tolist() == [5]
