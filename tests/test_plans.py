@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quayside import session
+from quayside.catalogue import queries
 from quayside.operators import allocation, bom, forecast
 from quayside.operators.skew import HotKeys
 from quayside.plans import reports
@@ -184,3 +185,12 @@ def test_prices_are_joined_by_product_alone(stored, large_tables):
     text = plan(reports.forecast_gap_rows(tables, "2024-01-01", "2024-06-15"))
     assert "hashpartitioning(product_id#" in text
     assert not any("price_band_id" in row for row in text.splitlines() if "SortMergeJoin" in row)
+
+
+def test_numbered_rows_stay_where_they_are(table, large_tables):
+    """Only the count per partition, which the aggregate adds up, is exchanged by partition."""
+    rows = table("code string", ("B",), ("A",), ("C",), ("A",)).repartition(3).orderBy("code")
+    numbered = queries._numbered(rows, "code")
+    text = plan(numbered)
+    assert "SortMergeJoin" not in text and text.count("hashpartitioning(_part") == 1
+    assert sorted(map(tuple, numbered.collect())) == [(1, "A"), (2, "A"), (3, "B"), (4, "C")]
