@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quayside import session
 from quayside.catalogue import queries
 from quayside.operators import allocation, bom, forecast
-from quayside.operators.skew import HotKeys
+from quayside.operators.skew import HotKeys, hot_keys
 from quayside.plans import reports
 from quayside.sources import erp, fixtures, layout
 
@@ -194,3 +194,20 @@ def test_numbered_rows_stay_where_they_are(table, large_tables):
     text = plan(numbered)
     assert "SortMergeJoin" not in text and text.count("hashpartitioning(_part") == 1
     assert sorted(map(tuple, numbered.collect())) == [(1, "A"), (2, "A"), (3, "B"), (4, "C")]
+
+
+def test_price_of_a_band_is_picked_in_generated_code(stored, large_tables):
+    """A filter of the list itself would be interpreted, row by row."""
+    tables = erp.forecast_tables(stored(erp.FORECAST_EXTRACTS))
+    text = plan(reports.month_gap_rows(tables, "2024-01-01", "2024-06-15"))
+    assert "Generate explode" in text and "lambda" not in text
+
+
+def test_only_counts_of_keys_that_may_be_hot_are_kept(spark, table):
+    rows = table("key string", *[("A",)] * 5, *[("B",)] * 2, ("C",), (None,))
+    with session.scratch_scope(spark) as folder:
+        found = hot_keys(rows, "key", 4).keys.collect()
+        assert hot_keys(rows, "key", 5) is None
+        kept = spark.read.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(folder)
+        assert [(r.key, r._rows) for r in kept.collect()] == [("A", 5)]
+    assert [tuple(r) for r in found] == [("A", 2)]
