@@ -211,3 +211,52 @@ def test_only_counts_of_keys_that_may_be_hot_are_kept(spark, table):
         kept = spark.read.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(folder)
         assert [(r.key, r._rows) for r in kept.collect()] == [("A", 5)]
     assert [tuple(r) for r in found] == [("A", 2)]
+
+
+def kept_shuffles(spark):
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    return tracker.shuffleStatuses().size()
+
+
+def test_shuffles_of_stored_rows_are_gone(spark):
+    before = kept_shuffles(spark)
+    rows = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    assert session.stored(rows, "freed").count() == 10
+    path = session.scratch_folder(spark, "freed")
+    assert bom._store(rows, path) == 10
+    assert kept_shuffles(spark) <= before + 1  # that of the count
+    assert spark.conf.get(session.FREED) == "false"
+
+
+def test_setting_comes_back_after_an_error(spark):
+    with pytest.raises(ValueError), session.shuffles_freed(spark):
+        assert spark.conf.get(session.FREED) == "true"
+        raise ValueError
+    assert spark.conf.get(session.FREED) == "false"
+
+
+def test_last_step_of_the_gap_has_the_shuffles_by_product_and_month_alone(stored, large_tables):
+    """What is by item, customer and order line has been stored by then."""
+    tables = erp.forecast_tables(stored(erp.FORECAST_EXTRACTS))
+    for rows in (reports.forecast_gap_rows, reports.month_gap_rows):
+        exchanges = [row for row in plan(rows(tables, "2024-01-01", "2024-06-15")).splitlines() if "Exchange hash" in row]
+        assert not [row for row in exchanges if any(key in row for key in (
+            "hashpartitioning(forecast_", "hashpartitioning(customer_id", "hashpartitioning(order_id"))]
+
+
+@pytest.mark.parametrize("by", ["product_id", "customer_id"])
+def test_rows_spread_by_either_key_agree(spark, by):
+    tables = fixtures.forecast(spark, "/root/testdata/sf0.001")
+    dated = forecast.with_period_date(forecast.forecast_base(tables, fixtures.FROM_DATE))
+    rows = forecast.normalise_forecast(dated, fixtures.AS_OF, by=by)
+    assert f"hashpartitioning({by}" in plan(rows)
+    assert rows.exceptAll(forecast.normalise_forecast(dated, fixtures.AS_OF)).isEmpty()
+
+
+def test_buckets_grow_with_the_lines(spark, monkeypatch):
+    tables = fixtures.forecast(spark, "/root/testdata/sf0.001")
+    lines = tables.order_lines.count()
+    assert layout.buckets_for(tables, least=4) == 4
+    monkeypatch.setattr(layout, "BUCKET_ROWS", lines // 10)
+    assert 10 <= layout.buckets_for(tables, least=4) <= 11
+    assert layout.buckets_for(tables, most=7) == 7
