@@ -1,6 +1,9 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
+from quayside import session
 from quayside.functions import text
 from quayside.operators import bom
 from quayside.plans import reports
@@ -197,3 +200,15 @@ def test_recursive_walk_is_whole_beyond_the_row_limit_of_the_session(spark, tabl
         assert rows.count() == bom.explode_bom(edges, "A").count() == 18
     finally:
         spark.conf.unset(bom.ROW_LIMIT)
+
+
+def test_recursive_walk_goes_on_once_from_a_product_of_many_paths(spark, table):
+    """Two lines from each product to the next: 2**9 paths to the last, of which the queries themselves hold few."""
+    lines = [(f"P{i}", f"P{i + 1}", f"d{n}", "T", float(n + 1)) for i in range(9) for n in range(2)]
+    edges = table(EDGE, *lines)
+    with session.scratch_scope(spark) as folder:
+        found = sorted(map(tuple, bom.explode_bom_recursive(edges, "P0").select(*edges.columns, "path", "level").collect()))
+        held = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(
+            *map(str, Path(folder.removeprefix("file:")).glob("bom-recursive-*"))).count()
+        assert found == sorted(map(tuple, bom.explode_bom(edges, "P0").select(*edges.columns, "path", "level").collect()))
+    assert len(found) == sum(2**n for n in range(1, 10)) and held < len(found) / 4
