@@ -325,3 +325,16 @@ def test_intermediate_tables_go_with_their_scope(table, spark, tmp_path):
     with pytest.raises(ValueError), scratch_scope(spark) as folder:
         bom.explode_bom(graph, "R", max_depth=0)
     assert not Path(folder).exists()
+
+
+def test_shuffles_of_levels_are_gone(spark, table):
+    """They added up over all levels, as nothing told Spark that they were not needed any more."""
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    graph = edges(table, *[(f"N{i}", f"N{i + 1}", 1) for i in range(6)])
+    demand = table("item_code string, due_date date, quantity double", ("N0", date(2024, 3, 1), 2.0))
+    stock = table("item_code string, current_stock double", ("N3", 1.0))
+    before = tracker.shuffleStatuses().size()
+    rows = planning.net_requirements(graph, demand, stock)
+    assert tracker.shuffleStatuses().size() <= before + 8
+    assert {(r.item_code, r.net_quantity) for r in rows.collect()} == {
+        (f"N{i}", 2.0 if i < 3 else 1.0) for i in range(7)}
